@@ -69,9 +69,10 @@ WITH c AS (
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), t AS (
   SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before,
-         length(text) + length(regexp_replace(text, '[^\#<]', '', 'g')) AS n_text,
-         length(role) + length(regexp_replace(role, '[^\#<
-]', '', 'g')) AS n_role
+         4 * length(text) - length(replace(text, '\', '')) - length(replace(text, '#', ''))
+           - length(replace(text, '<', '')) AS n_text,
+         5 * length(role) - length(replace(role, '\', '')) - length(replace(role, '#', ''))
+           - length(replace(role, '<', '')) - length(replace(role, chr(10), '')) AS n_role
   FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,
