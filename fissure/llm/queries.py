@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fissure.llm.chat_format import chat_digests, format_chats
 from fissure.llm.packing import pack_documents
 from fissure.llm.substring_dedup import substring_dedup
+from fissure.llm.suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,10 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def word_bpe_path() -> str:
     import public_tokenizers
 
@@ -87,6 +92,7 @@ FROM t GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op9_chat_formatting": op9_chat_formatting,
     }
