@@ -49,6 +49,11 @@ def documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def doc_ids(rids: np.ndarray) -> pa.Array:
+    """The doc_id column behind rids."""
+    return pa.array(rids, pa.int64(), mask=rids == NULL_ID)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts: the size from which numbers of buckets follow."""
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -148,6 +153,15 @@ class Texts:
     def ids(self) -> np.ndarray:
         return self.column("rid").to_numpy(zero_copy_only=False).astype(np.int64)
 
+    def runs(self, size: int) -> Iterator[tuple[int, int]]:
+        """Bounds of runs of whole documents of about ``size`` bytes."""
+        lo = 0
+        while lo < self.n:
+            hi = int(np.searchsorted(self.off, self.off[lo] + size, "right")) - 1
+            hi = min(self.n, max(hi, lo + 1))
+            yield lo, hi
+            lo = hi
+
     def text(self, i: int) -> bytes:
         return self.data[self.off[i] : self.off[i + 1]].tobytes()
 

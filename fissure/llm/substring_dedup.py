@@ -184,7 +184,7 @@ def _rewrite(min_words: int, keep_text: bool):
                     removed.append(0)
                 kept.append(b" ".join(words))
             out = {
-                "doc_id": t.column("doc_id"),
+                "doc_id": C.doc_ids(t.ids()),
                 "n_words": pa.array(np.diff(first), pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
                 "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
@@ -205,12 +205,11 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, block: int | None = No
     block = block or (min_words + 1) // 2
     if not 1 <= block <= (min_words + 1) // 2:
         raise ValueError("block must be between 1 and (min_words + 1) // 2")
-    docs = C.documents(docs)
+    docs = C.documents(docs).select("rid", "text")  # the same columns in both joins: one exchange serves both
     n = C.buckets(C.text_bytes(docs), BUCKET_BYTES)
     packed = "bucket bigint, h binary, place binary, ids binary, n binary"
     hits = (
-        docs.select("rid", "text")
-        .mapInArrow(_anchors(block, min_words, n), packed)
+        docs.mapInArrow(_anchors(block, min_words, n), packed)
         .groupBy("bucket")
         .applyInArrow(_hits(block), "rid bigint, pos int")
         .groupBy("rid")
@@ -226,5 +225,5 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, block: int | None = No
         .agg(F.collect_list(F.struct("tk", "start", "n")).alias("spans"))
     )
     out = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    whole = docs.join(runs, "rid", "left").select("doc_id", "text", "spans")
+    whole = docs.join(runs, "rid", "left").select("rid", "text", "spans")
     return whole.mapInArrow(_rewrite(min_words, keep_text), out)
