@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fissure.llm.chat_format import chat_digests, format_chats
+from fissure.llm.language_id import identify_language
 from fissure.llm.packing import pack_documents
 from fissure.llm.parity_join import jaccard_components
 from fissure.llm.substring_dedup import substring_dedup
@@ -44,6 +45,10 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -120,6 +125,7 @@ FROM t GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op4_language_id": op4_language_id,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
