@@ -1,7 +1,7 @@
 """Best-fit packing of tokenized documents into sequences of bounded length.
 
-Tokenizing runs per task: the words of a chunk are hashed, each distinct one is encoded once (words
-never share tokens across white space under a tokenizer that drops it) and ids are gathered.  What is
+Tokenizing runs per task: texts are cut where the pre-tokenizer always cuts, each distinct piece is
+encoded once and ids are gathered.  What is
 shuffled is a few integers per piece.  Pieces are dealt at random to groups of about
 ``group_tokens``; a group is packed by bounded-space online best-fit: at most ``open_bins`` bins are
 open, a bitset keyed by free space finds the tightest that fits, and when all are taken the fullest
@@ -26,57 +26,108 @@ from pyspark.sql import functions as F
 from fissure.llm import common as C
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-CACHE_WORDS = 400_000
+CACHE_PIECES = 1_500_000
+JOINED = 50
+# Classes of bytes between which a pre-tokenizer that keeps letters, digits and signs apart always
+# splits; an apostrophe (contractions), controls and bytes of longer characters are in none.
+KIND = np.zeros(256, np.uint8)
+KIND[[*range(97, 123)]] = 1
+KIND[[*range(48, 58)]] = 2
+KIND[[i for i in range(33, 127) if not chr(i).isalnum() and i != 39]] = 3
+SEPARATOR = "\x01"
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space, one encoding per distinct word."""
+    """Ids of whole texts by a lower-casing tokenizer that drops white space and splits at signs.
+
+    Each distinct piece between such splits is encoded once and looked up by its hash.  A text that
+    holds the string of a special token keeps its case and is cut at white space only.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = separator[0] if len(separator) == 1 else None
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts, self.used = [0], 0
-
-    def _learn(self, words: list[str], keys: list[int]) -> None:
-        for key, enc in zip(keys, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            ids = enc.ids
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.slots[key] = len(self.starts) - 1
-            self.starts.append(self.used)
+        self.keys, self.starts, self.counts = np.zeros(0, C.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _encode_all(self, pieces: list[str], joined: bool) -> list[np.ndarray]:
+        if not joined:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        glue = f" {SEPARATOR} "
+        texts = [glue.join([*pieces[i : i + JOINED], ""]) for i in range(0, len(pieces), JOINED)]
+        out = []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.separator).tolist()
+            out += [ids[a + 1 : b] for a, b in zip([-1, *cut], cut)]
+        return out
+
+    def _learn(self, keys: np.ndarray, pieces: list[str], joined: bool) -> None:
+        encoded = self._encode_all(pieces, joined)
+        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        flat = np.concatenate(encoded)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        at = np.searchsorted(self.keys, keys)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(counts) - counts)
+        self.counts = np.insert(self.counts, at, counts)
+        self.keys = np.insert(self.keys, at, keys)
+        self.used += len(flat)
+
+    def _spans(self, t: C.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+        low = C.lowered(t.data)
+        whole = low.tobytes()
+        if any(x in whole for x in self.special):
+            return t.data, *t.words(), False
+        starts, ends, _ = C.word_spans(low, t.off)
+        kind = KIND[low]
+        edge = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        edge = edge[~np.isin(edge, t.off)]
+        starts, ends = np.sort(np.r_[starts, edge]), np.sort(np.r_[ends, edge])
+        return low, starts, ends, np.searchsorted(starts, t.off), SEPARATOR.encode() not in whole
 
     def encode(self, t: C.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk, and where each document's begin (n + 1)."""
-        starts, ends, first = t.words()
-        h = C.span(C.prefix(C.BYTE_CODE[t.data]), starts, ends)
+        data, starts, ends, first, joined = self._spans(t)
+        h = C.span(C.prefix(C.BYTE_CODE[data]), starts, ends)
         keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slots) + len(keys) > max(CACHE_WORDS, len(keys)):
+        if len(self.keys) + len(keys) > max(CACHE_PIECES, len(keys)):
             self.clear()
-        listed = keys.tolist()
-        new = [i for i, k in enumerate(listed) if k not in self.slots]
-        if new:
-            data = t.data.tobytes()
-            where = [(int(starts[at[i]]), int(ends[at[i]])) for i in new]
-            self._learn([data[a:b].decode() for a, b in where], [listed[i] for i in new])
-        slot = np.fromiter((self.slots[k] for k in listed), np.int64, len(listed))[inverse]
-        bounds = np.array(self.starts, np.int64)
-        count = (bounds[slot + 1] - bounds[slot]) if len(slot) else slot
-        ids = self.ids[C.ragged(bounds[slot], count)]
-        return ids, np.r_[0, np.cumsum(count)][first]
+        slot = np.searchsorted(self.keys, keys)
+        known = self.keys[np.minimum(slot, max(0, len(self.keys) - 1))] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if not known.all():
+            body = data.tobytes()
+            pick = at[~known]
+            pieces = [body[a:b].decode() for a, b in zip(starts[pick].tolist(), ends[pick].tolist())]
+            self._learn(keys[~known], pieces, joined and self.separator is not None)
+            slot = np.searchsorted(self.keys, keys)
+        slot = slot[inverse]
+        count = self.counts[slot]
+        return self.ids[C.ragged(self.starts[slot], count)], np.r_[0, np.cumsum(count)][first]
+
+
+_LOADED: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One per worker process: later tasks find what earlier ones learned."""
+    if path not in _LOADED:
+        _LOADED[path] = WordTokenizer(path)
+    return _LOADED[path]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         end = np.array([end_id], np.uint32)
         for t in C.chunks(batches):
             ids, off = tokenizer.encode(t)
@@ -151,7 +202,8 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``tokenizer_path`` names a tokenizers file whose pre-tokenizer drops white space.
+    ``tokenizer_path`` names a tokenizers file that lower-cases, drops white space and keeps letters,
+    digits and signs apart.
     """
     pieces = C.cut(C.documents(docs).select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECE))
     total = pieces.agg(F.sum("length")).first()[0] or 0
