@@ -4,7 +4,7 @@
    Neighbouring windows with one value form a segment.  A packed exchange finds the values that occur
    more than once; equal windows have equal values, so the others can't repeat.
 2. The segments of those values go to the bucket of their value.  There the distinct segments, each
-   with its count, are joined by unique end marks; their suffix array (prefix doubling) gives the
+   with its count, are joined by end marks; their suffix array (prefix doubling) gives the
    transform, and breadth-first backward extension assigns common prefix lengths in increasing order
    and stops at ``min_bytes``.  Neighbours that got no length share ``min_bytes`` bytes or more.
 3. Repeated windows return to their documents as runs.
@@ -26,26 +26,33 @@ from pyspark.sql import functions as F
 from fissure.llm import common as C
 
 GRAM = 64
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
+FEW_BYTES = 1 << 19  # what is hashed at a time: it stays in the cache
 WIDE = 64  # intervals over this width are extended by rank, others element by element
 PACKED = "bucket bigint, h binary, place binary, ids binary, n binary"
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; only suffixes that still tie are sorted again."""
+    """Suffix array by prefix doubling, from 7 symbols of 9 bits on; only suffixes that tie are sorted again."""
     n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    head = C.group_bounds(symbols[order])
+    wide = np.zeros(n + 7, C.U64)
+    wide[:n] = symbols
+    key = np.zeros(n, C.U64)
+    for j in range(7):
+        key <<= C.U64(9)
+        key |= wide[j : j + n]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    head = C.group_bounds(key[order])
     size = np.diff(np.r_[head, n])
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.repeat(head, size)
     tied = order[np.repeat(size > 1, size)]
-    step = 1
+    step = 7
     while len(tied):
         after = tied + step
         second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         old = rank[tied]
-        key = old * (n + 2) + second
+        key = (old.astype(np.int64) << 32) | second
         by = np.argsort(key, kind="stable")
         tied, key, old = tied[by], key[by], old[by]
         group = C.group_bounds(old)
@@ -55,29 +62,28 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         rank[tied] = old + np.repeat(parts, size) - first
         tied = tied[np.repeat(size > 1, size)]
         step *= 2
-    sa = np.empty(n, np.int64)
-    sa[rank] = np.arange(n)
+    sa = np.empty(n, np.int32)
+    sa[rank] = np.arange(n, dtype=np.int32)
     return sa
 
 
-def short_prefixes(symbols: np.ndarray, marks: int, sa: np.ndarray, stop: int) -> np.ndarray:
-    """Whether each suffix-array neighbour pair (i - 1, i) shares fewer than ``stop`` symbols.
+def short_prefixes(symbols: np.ndarray, sa: np.ndarray, stop: int) -> np.ndarray:
+    """Whether suffix-array neighbours (i - 1, i) share fewer than ``stop`` symbols.
 
-    ``symbols`` holds ``marks`` unique end marks as 0 to marks - 1 and bytes above them.
+    Level by level, the intervals of strings of one length are extended backward by each symbol; an
+    interval whose right edge has no value yet gives it the level, and goes on.
     """
     n = len(symbols)
-    bwt = np.maximum(symbols[sa - 1] - marks + 1, 0).astype(np.uint16)  # 0: an end mark
-    order = np.argsort(bwt, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[order] = np.arange(n)
-    cut = np.searchsorted(bwt[order], np.arange(258))
-    chars = [c for c in range(1, 257) if cut[c + 1] > cut[c]]
+    bwt = symbols[sa - 1]
+    order = np.argsort(bwt, kind="stable").astype(np.int32)
+    lf = np.empty(n, np.int32)
+    lf[order] = np.arange(n, dtype=np.int32)
+    cut = np.searchsorted(bwt[order], np.arange(259))
+    chars = [c for c in range(258) if cut[c + 1] > cut[c]]
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
-    # Level 0 has the interval of the empty string; each end mark is a string of length 1 as well.
-    lb, rb = np.array([0]), np.array([n])
-    marked = np.arange(marks)
-    for level in range(stop):
+    lb, rb = np.zeros(1, np.int32), np.full(1, n, np.int32)
+    for _ in range(stop):
         if not len(lb):
             break
         width = rb - lb
@@ -94,22 +100,21 @@ def short_prefixes(symbols: np.ndarray, marks: int, sa: np.ndarray, stop: int) -
         if not wide.all():
             a, w = lb[~wide], width[~wide]
             at = C.ragged(a, w)
+            to = lf[at]
             of = np.repeat(np.arange(len(a)), w)
-            plain = bwt[at] > 0
-            to, of = lf[at[plain]], of[plain]
-            by = np.argsort(to, kind="stable")
-            to, of = to[by], of[by]
-            if len(to):
+            if len(to) > len(a):
+                by = np.argsort(to)
+                to, of = to[by], of[by]
+                ch = symbols[sa[to]]
                 new = np.ones(len(to), bool)
-                ch = bwt[order[to]]
                 new[1:] = (to[1:] != to[:-1] + 1) | (of[1:] != of[:-1]) | (ch[1:] != ch[:-1])
                 first = np.flatnonzero(new)
                 lows.append(to[first])
                 highs.append(to[np.r_[first[1:], len(to)] - 1] + 1)
-        if level == 0:
-            lows.append(marked)
-            highs.append(marked + 1)
-        lb, rb = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lows, highs))
+            else:
+                lows.append(to)
+                highs.append(to + 1)
+        lb, rb = np.concatenate(lows).astype(np.int32), np.concatenate(highs).astype(np.int32)
         fresh = ~known[rb]
         lb, rb = lb[fresh], rb[fresh]
         known[rb] = True
@@ -117,20 +122,24 @@ def short_prefixes(symbols: np.ndarray, marks: int, sa: np.ndarray, stop: int) -
 
 
 def repeated_windows(segments: list[bytes], counts: np.ndarray, stop: int) -> list[np.ndarray]:
-    """For each distinct segment, which of its windows of ``stop`` bytes occur twice or more in all."""
+    """For each distinct segment, which of its windows of ``stop`` bytes occur twice or more in all.
+
+    Segments are joined by an end mark (1) and closed by a least one (0).  A string of ``stop`` bytes
+    within a segment holds no mark, so matches across segments don't count.
+    """
     sizes = np.array([len(s) for s in segments], np.int64)
-    marks = len(segments)
-    n = int(sizes.sum()) + marks
+    n = int((sizes + 1).sum()) + 1
     begin = np.cumsum(sizes + 1) - sizes - 1
-    symbols = np.empty(n, np.int64)
-    owner = np.repeat(np.arange(marks), sizes + 1)
+    symbols = np.empty(n, np.uint16)
+    owner = np.repeat(np.arange(len(segments)), sizes + 1)
     body = np.ones(n, bool)
-    body[begin + sizes] = False
-    symbols[body] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64) + marks
-    symbols[~body] = np.arange(marks)
+    body[begin + sizes] = body[-1] = False
+    symbols[body] = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint16) + 2
+    symbols[~body] = 1
+    symbols[-1] = 0
     sa = suffix_array(symbols)
-    head = np.flatnonzero(short_prefixes(symbols, marks, sa, stop))
-    times = np.add.reduceat(counts[owner[sa]], head)
+    head = np.flatnonzero(short_prefixes(symbols, sa, stop))
+    times = np.add.reduceat(np.r_[counts[owner], 0][sa], head)
     again = np.empty(n, bool)
     again[sa] = np.repeat(times > 1, np.diff(np.r_[head, n]))
     return [again[b : b + max(0, s - stop + 1)] for b, s in zip(begin.tolist(), sizes.tolist())]
@@ -138,20 +147,25 @@ def repeated_windows(segments: list[bytes], counts: np.ndarray, stop: int) -> li
 
 def _segments(t: C.Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor value: start, windows, value, whether the value is there twice."""
-    length = np.diff(t.off)
+    parts = [_few_segments(t.data[t.off[a] : t.off[b]], t.off[a : b + 1] - t.off[a], size, t.off[a]) for a, b in t.runs(FEW_BYTES)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _few_segments(data: np.ndarray, off: np.ndarray, size: int, base: int) -> tuple[np.ndarray, ...]:
+    length = np.diff(off)
     doc = np.flatnonzero(length >= size)
     n_windows = length[doc] - size + 1
     none = np.zeros(0, np.int64)
     if not len(doc):
         return none, none, none.astype(C.U64), none.astype(bool)
-    p = C.prefix(C.BYTE_CODE[t.data])
+    p = C.prefix(C.BYTE_CODE[data])
     _, down = C.POWERS.get(len(p))
     n = len(p) - GRAM
     h = (p[GRAM:] - p[:n]) * down[:n]
     h ^= h >> C.U64(32)
     h *= C.U64(0xD6E8FEB86659FD93)
     least = C.sliding_min(h, size - GRAM + 1)
-    at = C.ragged(t.off[doc], n_windows)
+    at = C.ragged(off[doc], n_windows)
     value = least[at]
     new = np.ones(len(at), bool)
     new[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)
@@ -161,7 +175,7 @@ def _segments(t: C.Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     grams = wins + size - GRAM
     same = h[C.ragged(start, grams)] == np.repeat(value, grams)
     twice = np.add.reduceat(same, np.cumsum(grams) - grams) > 1
-    return start, wins, value, twice
+    return start + base, wins, value, twice
 
 
 def _slices(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,6 +264,22 @@ def _bodies(size: int, n_buckets: int):
     return run
 
 
+def _again(segments: list[bytes], values: np.ndarray, counts: np.ndarray, size: int) -> list[np.ndarray]:
+    """Repeated windows of each segment.  All windows of a segment that occurs twice repeat; it is
+    needed for comparison only where its anchor value has other segments as well."""
+    order = np.argsort(values, kind="stable")
+    head = C.group_bounds(values[order])
+    alone = np.zeros(len(values), bool)
+    alone[order] = np.repeat(np.diff(np.r_[head, len(values)]) == 1, np.diff(np.r_[head, len(values)]))
+    plain = alone & (counts > 1)
+    rest = np.flatnonzero(~plain)
+    out = [np.ones(len(s) - size + 1, bool) for s in segments]
+    if len(rest):
+        for i, flags in zip(rest.tolist(), repeated_windows([segments[i] for i in rest], counts[rest], size)):
+            out[i] = flags
+    return out
+
+
 def _matches(size: int):
     def run(table: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
@@ -269,7 +299,7 @@ def _matches(size: int):
         d, p, t = map(np.concatenate, (ds, ps, ts))
         counts = np.bincount(seg, minlength=len(values))
         segments = list(index)
-        again = repeated_windows(segments, counts, size)
+        again = _again(segments, np.array(values, C.U64), counts, size)
         runs = [_runs(x) for x in again]
         n_runs = np.array([len(a) for a, _ in runs], np.int64)
         base = np.cumsum(n_runs) - n_runs
