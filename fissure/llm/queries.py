@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fissure.llm.chat_format import chat_digests, format_chats
+from fissure.llm.decontamination import contamination
 from fissure.llm.language_id import identify_language
+from fissure.llm.line_dedup import line_dedup
 from fissure.llm.packing import pack_documents
 from fissure.llm.parity_join import jaccard_components
 from fissure.llm.substring_dedup import substring_dedup
 from fissure.llm.suffix_dedup import suffix_dedup
+from fissure.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +48,14 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +74,33 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, p, lines[p] AS line FROM d, unnest(range(1, len(lines) + 1)) AS t(p)
+), f AS (
+  SELECT doc_id, p, line, row_number() OVER w AS i, lead(line) OVER w AS next_line, lead(p) OVER w AS next_p
+  FROM l WHERE length(translate(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12), '')) > 0
+  WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+), c AS (
+  SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) AS nth FROM f WHERE next_p IS NOT NULL
+), gone AS (
+  SELECT doc_id, p FROM c WHERE nth > 1 UNION SELECT doc_id, next_p FROM c WHERE nth > 1
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS body FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(len(d.lines), 0)::BIGINT AS n_lines,
+       (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS n_removed,
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.body, '')) END AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -125,9 +163,12 @@ FROM t GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_toxicity": op2_toxicity,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_language_id": op4_language_id,
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_line_dedup": op7_line_dedup,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_chat_formatting": op9_chat_formatting,
     }
@@ -136,6 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1_SQL,
+        "op7_line_dedup": OP7_SQL,
         "op8_ngram_jaccard_join": OP8_SQL,
         "op9_chat_formatting": OP9_SQL,
     }
