@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,3 +190,18 @@ def identify_language(docs: DataFrame, ambiguous_gap: float = 0.05) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 3, 1).alias("held_out"), "text")
     model = fit_language_model(docs.where(~held_out(F.col("doc_id"), 3, 1)).select("lang", "text"))
     return predict_language(rows, model, ambiguous_gap).drop("text")
+
+
+def drop_unidentified(docs: DataFrame, ambiguous_gap: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` whose language is told without ambiguity, as they are."""
+    model = fit_language_model(docs.where(~held_out(F.col("doc_id"), 3, 1)).select("lang", "text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    predict = _predict(shared, ambiguous_gap, [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unclear = [p.column("ambiguous") for p in predict(iter([batch]))]
+            if unclear:
+                yield batch.filter(pa.compute.invert(pa.chunked_array(unclear).combine_chunks()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fissure.llm.chat_format import chat_digests, format_chats
+from fissure.llm.chroma import align_recordings, fingerprints, recordings_of
 from fissure.llm.decontamination import contamination
 from fissure.llm.language_id import identify_language
 from fissure.llm.line_dedup import line_dedup
@@ -160,6 +162,12 @@ FROM t GROUP BY conv_id
 """
 
 
+def op10_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of embeddings is rendered as a recording; those with an id divisible by 20 are searched."""
+    codes = fingerprints(recordings_of(_table(spark, sf_dir, "embeddings")))
+    return align_recordings(codes, F.col("id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -171,6 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_chat_formatting": op9_chat_formatting,
+        "op10_chroma_fingerprints": op10_chroma_fingerprints,
     }
 
 
