@@ -1,10 +1,68 @@
-"""A training-data pipeline over ``documents``: stages that hand on what they keep."""
+"""A training-data pipeline over ``documents``: stages that hand on what they keep.
+
+Stages, each (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents.
+
+1. language: documents whose language can't be told without ambiguity go.
+2. lines: later copies of runs of repeated lines go; a document of which nothing is left goes as well,
+   and n_chars follows the text.
+3. near_duplicates: of documents linked by five-word shingles at a similarity of 0.8 or more, the one
+   with the least doc_id stays.
+4. benchmark: documents that hold a benchmark item go.
+5. packing: what remains is tokenized and packed into sequences of at most 4096 tokens.
+
+Rows that share a doc_id stay or go together in stage 3; null doc_ids count as one document there.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fissure.llm.decontamination import drop_contaminated
+from fissure.llm.language_id import drop_unidentified
+from fissure.llm.line_dedup import drop_repeated_lines
+from fissure.llm.packing import pack_documents
+from fissure.llm.parity_join import jaccard_components
+from fissure.llm.queries import word_bpe_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_unidentified(docs.select(*COLUMNS))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = drop_repeated_lines(docs.select(*COLUMNS))
+    left = (F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return rows.where(left).withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
+    found = jaccard_components(docs, words=5, num=80, den=100)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, word_bpe_path())
+
+
+STAGES = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("benchmark", benchmark),
+    ("packing", packing),
+]
 
-STAGES: list = []
+# Language models and subword tokens are beyond SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
