@@ -2,15 +2,18 @@
 
 A document's distinct word shingles are dealt by hash to the k blocks of a sketch; a block is the XOR
 of its shingles' 64-bit codes, so each shingle flips parity bits of one block only.  Two sets whose
-symmetric difference is d differ in at most d blocks: the distance of sketches, in blocks, is a lower
-bound.  Sets are joined per size band: in a band the threshold allows at most D differing shingles, so
+symmetric difference is d differ in at most d blocks.  A finer sketch gives each shingle one parity bit of
+a few thousand; its Hamming distance is a lower bound too, and nearly equal to d.  Sets are joined per size
+band: in a band the threshold allows at most D differing shingles, so
 with k = D + 1 + e blocks at least e + 1 agree (pigeonhole).  A block with very few shingles is a weak
 key and is left out, unless a set has more than e of these: then it sends them all.
 
-Candidates are verified exactly, in two rounds.  First each document meets the least document that it
+Candidates are verified exactly, in three rounds.  First each document meets the least document that it
 shares a block with; groups of near copies fall together at the cost of one pair per document.  Then
-blocks that still hold documents of different groups give the pairs across groups.  Equal sets are one
-node throughout.  No link is lost and no group is expanded into all its pairs.
+blocks that still hold documents of different groups compare the Hamming distances of their fine
+sketches and give a forest of pairs that would join these groups; last, what still lies apart there
+gives every pair that the distance allows.  Equal sets are one node throughout.  No link is lost and no
+group is expanded into all its pairs.
 
 Defined cases: a null or empty text has no shingles and links with nothing; fewer words than a shingle
 has are one shingle; rows that share a doc_id are one document with several texts; null doc_ids are
@@ -33,6 +36,7 @@ from fissure.llm.components import components
 BUCKET_BYTES = 6 << 20
 BAND = 1.25
 PAIRS = 256  # pairs verified at a time
+OPEN_ROWS = 10_000  # entries of blocks with several groups that are compared in one task
 
 
 def shingle_sets(t: C.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,13 +106,35 @@ class Bands:
         return np.searchsorted(self.lows, sizes, "right") - 1
 
 
+def fine_sketch(h: np.ndarray) -> bytes:
+    """Parity bits of a set, 4 or more per shingle; their number is a power of two, so that the longer of
+    two sketches folds to the length of the other."""
+    bits = 256
+    while bits < 4 * len(h):
+        bits *= 2
+    flips = np.bincount((C.mix(h) & C.U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    words = [np.frombuffer(x, C.U64) for x in sketches]
+    size = min(map(len, words))
+    return np.stack([np.bitwise_xor.reduce(w.reshape(-1, size), axis=0) for w in words])
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in C.chunks(batches):
             h, first = shingle_sets(t, words)
             a, b = _set_keys(h, first)
             yield pa.RecordBatch.from_pydict(
-                {"rid": pa.array(t.ids(), pa.int64()), "n": pa.array(np.diff(first), pa.int64()), "s1": pa.array(a), "s2": pa.array(b)}
+                {
+                    "rid": pa.array(t.ids(), pa.int64()),
+                    "n": pa.array(np.diff(first), pa.int64()),
+                    "s1": pa.array(a),
+                    "s2": pa.array(b),
+                    "fine": pa.array([fine_sketch(h[x:y]) for x, y in zip(first, first[1:])], pa.binary()),
+                }
             )
 
     return run
@@ -197,6 +223,45 @@ def _shared(table: pa.Table) -> pa.Table:
     )
 
 
+def close_pairs(ids: np.ndarray, sizes: np.ndarray, label: np.ndarray, fine: np.ndarray, num: int, den: int, forest: bool):
+    """Pairs of different labels whose distance allows a link; with ``forest`` only as many as join labels."""
+    order = np.argsort(ids, kind="stable")
+    ids, sizes, label, fine = ids[order], sizes[order], label[order].copy(), fine[order]
+    a, b = [], []
+    for i in range(len(ids)):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        rest = rest[(den * np.minimum(sizes[rest], sizes[i]) >= num * np.maximum(sizes[rest], sizes[i]))]
+        if not len(rest):
+            continue
+        away = np.bitwise_count(fine[rest] ^ fine[i]).sum(1, dtype=np.int64)
+        near = rest[away * (den + num) <= (sizes[rest] + sizes[i]) * (den - num)]
+        if forest and len(near):
+            _, first = np.unique(label[near], return_index=True)
+            near = near[first]
+            label[np.isin(label, label[near])] = label[i]
+        a += [int(ids[i])] * len(near)
+        b += ids[near].tolist()
+    return a, b
+
+
+def _across(num: int, den: int, forest: bool):
+    def run(table: pa.Table) -> pa.Table:
+        key = table.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")
+        head = np.r_[C.group_bounds(key[order]), len(key)]
+        ids, sizes, label = (table.column(c).to_numpy() for c in ("rid", "n", "label"))
+        fine = table.column("fine").to_pylist()
+        out: set[tuple[int, int]] = set()
+        for lo, hi in zip(head, head[1:]):
+            at = order[lo:hi]
+            a, b = close_pairs(ids[at], sizes[at], label[at], _folded([fine[i] for i in at]), num, den, forest)
+            out.update(zip(b, a))
+        pairs = sorted(out)
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+    return run
+
+
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=1)
     for t in C.chunks(batches):
@@ -252,9 +317,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         raise ValueError("the threshold must lie between 0 and 1")
     docs = C.documents(docs).select("rid", "text")
     n_buckets = C.buckets(C.text_bytes(docs), BUCKET_BYTES)
-    sets = C.cut(docs.mapInArrow(_sets(words), "rid bigint, n bigint, s1 bigint, s2 bigint"))
+    sets = C.cut(docs.mapInArrow(_sets(words), "rid bigint, n bigint, s1 bigint, s2 bigint, fine binary"))
     reps = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rep"))
-    rows = C.cut(sets.join(reps, ["s1", "s2"], "left").select("rid", "n", "rep"))
+    rows = C.cut(sets.drop("fine").join(reps, ["s1", "s2"], "left").select("rid", "n", "rep"))
     nodes = rows.where("rep = rid").select("rid", "n").distinct()
 
     shared = docs.mapInArrow(_blocks(words, num, den, n_buckets), "bucket bigint, h binary, doc binary, ids binary")
@@ -265,21 +330,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     firsts = members.where("rid <> center").groupBy(F.col("rid").alias("a")).agg(F.min("center").alias("b"))
     split = rows.where("rep is not null").groupBy("rid").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b")
     links = _verify(firsts, texts, words, num, den).unionAll(_all_reps(rows, split))
-    label = components(links)
-
-    named = members.join(label, members.rid == label.node, "left").select(
-        "key", "rid", "n", F.coalesce("label", "rid").alias("label")
-    )
-    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    still = C.cut(named.join(open_keys, "key"))
-    final = label
-    if not still.isEmpty():
-        x = still.select("key", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        y = still.select("key", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (F.col("la") < F.col("lb"))
-        across = x.join(y, "key").where(fits).select("a", "b").distinct()
-        more = _verify(across, texts, words, num, den)
-        final = components(links.unionAll(more))
+    final = components(links)
+    for forest in (True, False):
+        named = members.join(final, members.rid == final.node, "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
+        apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        still = C.cut(named.join(apart, "key"))
+        n_still = still.count()
+        if not n_still:
+            break
+        fine = sets.select("rid", "n", "fine").distinct()
+        held = still.join(fine, ["rid", "n"]).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(C.buckets(n_still, OPEN_ROWS))))
+        across = held.groupBy("g").applyInArrow(_across(num, den, forest), "a bigint, b bigint").distinct()
+        links = links.unionAll(_verify(across, texts, words, num, den))
+        final = components(links)
     out = rows.join(final, rows.rep == final.node, "left")
     return out.select(
         F.when(F.col("rid") != C.NULL_ID, F.col("rid")).alias("doc_id"),
