@@ -5,8 +5,9 @@ text, so a passage's score says how much of the item it holds and one threshold
 Every document is cut into overlapping passages of twice the longest item's words; each passage is a
 query.  Evaluation is vectorised over the passages of a chunk:
 
-* WAND: an item can reach the threshold only if the passage holds one of its essential terms, the
-  rarest that together weigh more than what may be missing.
+* WAND: an item's essential terms are the rarest that together weigh ``MARGIN`` more than what may be
+  missing; a passage can reach the threshold only if it holds that margin of them.  Other terms are
+  looked up for passages that do.
 * Block-max: items lie in blocks of ``BLOCK`` neighbours with the largest weight of each term; a
   passage's bound for a block discards it before any item is scored.
 * All items above the threshold are then verified: 5-word shingles of the whole item (``min_overlap``)
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from fissure.llm import common as C
 
 BLOCK = 8
+MARGIN = 0.3
 MAX_INDEX_BYTES = 16 << 20
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -115,17 +117,23 @@ class Index:
             head = C.group_bounds(t[order])
             blocks.append((t[order][head], x[order][head]))
         self.blocks = Rows(blocks) if blocks else None
-        post_term, post_item = [], []
+        post_term, post_item, post_weight, self.least = [], [], [], np.zeros(n)
         for i, (t, x) in enumerate(rows):
             order = np.argsort(-x, kind="stable")
-            need = int(np.searchsorted(np.cumsum(x[order]), 1 - threshold + 1e-9)) + 1
-            post_term.append(t[order][:need])
-            post_item.append(np.full(min(need, len(t)), i))
+            need = min(len(t), int(np.searchsorted(np.cumsum(x[order]), min(1.0, 1 - threshold + MARGIN))) + 1)
+            mine = order[:need]
+            self.least[i] = threshold - (1 - x[mine].sum()) - 1e-9
+            post_term.append(t[mine])
+            post_item.append(np.full(need, i))
+            post_weight.append(x[mine])
         if rows:
-            pt, pi = np.concatenate(post_term), np.concatenate(post_item)
+            pt = np.concatenate(post_term)
             order = np.argsort(pt, kind="stable")
-            self.post_item = pi[order]
+            self.post_item, self.post_weight = np.concatenate(post_item)[order], np.concatenate(post_weight)[order]
             self.post_start = np.searchsorted(pt[order], np.arange(len(self.terms) + 1))
+            self.essential = np.diff(self.post_start) > 0
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(self.terms & C.U64(0xFFFF)).astype(np.int64)] = True
         self.parts = []
         for i, w in zip(keep, words):
             a = _answer_words(texts[i], len(w))
@@ -134,28 +142,43 @@ class Index:
     def retrieve(self, wh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, passage start, item, score) of all passages and items at or above the threshold."""
         none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
-        term = np.searchsorted(self.terms, wh)
+        at = np.flatnonzero(self.maybe[(wh & C.U64(0xFFFF)).astype(np.int64)])
+        term = np.searchsorted(self.terms, wh[at])
         term[term == len(self.terms)] = 0
-        at = np.flatnonzero(self.terms[term] == wh)
+        hit = self.terms[term] == wh[at]
+        at, term = at[hit], term[hit].astype(np.int64)
         if not len(at):
             return none
-        term = term[at].astype(np.int64)
         # Passages of 2 * longest words, each half a passage on: word j of a document lies in two.
-        doc = np.searchsorted(first, at, "right") - 1
-        half = (at - first[doc]) // self.longest
-        base = np.cumsum(np.diff(first) // self.longest + 1)
-        slot = base[doc] - (np.diff(first)[doc] // self.longest + 1) + half  # half-passages, numbered through
-        nt = len(self.terms)
-        later = half > 0
-        held = np.unique(np.r_[slot * nt + term, (slot[later] - 1) * nt + term[later]])
+        halves = np.diff(first) // self.longest + 1
+        base = np.cumsum(halves) - halves  # half-passages are numbered through
+        doc = np.repeat(np.arange(len(halves)), np.diff(first))[at]
+        slot = base[doc] + (at - first[doc]) // self.longest
+        later = slot > base[doc]
+        nt, n_items = len(self.terms), len(self.ids)
+
+        def pairs(use: np.ndarray) -> np.ndarray:
+            more = use & later
+            return np.unique(np.r_[slot[use] * nt + term[use], (slot[more] - 1) * nt + term[more]])
+
+        held = pairs(self.essential[term])
         passage, t = held // nt, held % nt
         count = self.post_start[t + 1] - self.post_start[t]
-        item = self.post_item[C.ragged(self.post_start[t], count)]
-        n_items = len(self.ids)
-        pair = np.unique(np.repeat(passage, count) * n_items + item)
-        if not len(pair):
+        posts = C.ragged(self.post_start[t], count)
+        key = np.repeat(passage, count) * n_items + self.post_item[posts]
+        order = np.argsort(key)
+        key = key[order]
+        head = C.group_bounds(key)
+        if not len(head):
             return none
+        pair = key[head]
+        pair = pair[np.add.reduceat(self.post_weight[posts][order], head) >= self.least[pair % n_items]]
         passage, item = pair // n_items, pair % n_items
+        if not len(pair):
+            return none
+        wanted = np.zeros(int(slot.max()) + 2, bool)
+        wanted[passage] = True
+        held = pairs(wanted[slot] | (later & wanted[slot - 1]))
         n_blocks = len(self.blocks.size)
         blocks, of = np.unique(passage * n_blocks + item // BLOCK, return_inverse=True)
         bound = self.blocks.score(blocks // n_blocks, blocks % n_blocks, held, nt)[of]
@@ -166,9 +189,8 @@ class Index:
         score = self.items.score(passage, item, held, nt)
         live = score >= self.threshold - 1e-9
         passage, item, score = passage[live], item[live], score[live]
-        doc = np.searchsorted(base, passage, "right")
-        number = passage - (base[doc] - (np.diff(first)[doc] // self.longest + 1))
-        return doc, number * self.longest, item, score
+        doc = np.searchsorted(base, passage, "right") - 1
+        return doc, (passage - base[doc]) * self.longest, item, score
 
     def matches(self, t: C.Texts, min_overlap: float, min_part: float) -> list[tuple]:
         """(document, item, score, overlap, question overlap, answer overlap, word), one per pair."""
