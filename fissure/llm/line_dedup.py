@@ -25,10 +25,13 @@ from fissure.llm import common as C
 BLANKS = " \t\r\x0b\x0c"
 
 
-def _filled(lines: Column) -> Column:
-    """Indexes of the non-blank lines."""
-    every = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda i: F.length(F.translate(F.get(lines, i), BLANKS, "")) > 0)
+def _is_filled(line: Column) -> Column:
+    return F.length(F.translate(line, BLANKS, "")) > 0
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column through a generator, so that no later expression evaluates it again."""
+    return rows.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
 def _named(rows: DataFrame, *keys: str) -> DataFrame:
@@ -46,17 +49,11 @@ def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
 
     ``docs`` has rid, text and tk, a hash of the text.
     """
-    ids = docs.where("text is not null").select("rid", "tk", F.split("text", "\n", -1).alias("lines"))
-    ids = ids.select("rid", "tk", F.transform(_filled(F.col("lines")), lambda i: F.xxhash64(F.get("lines", i))).alias("h"))
-    if min_lines == 1:
-        rows = _named(ids.select("rid", "tk", F.posexplode("h").alias("i", "a")), "a")
-    else:
-        pairs = F.transform(
-            F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0))),
-            lambda a, i: F.struct(a.alias("a"), F.get("h", i + 1).alias("b")),
-        )
-        rows = ids.select("rid", "tk", F.posexplode(pairs).alias("i", "p")).select("rid", "tk", "i", "p.a", "p.b")
-        rows = _named(rows, "a", "b")
+    lines = docs.where("text is not null").select("rid", "tk", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
+    lines = lines.where(_is_filled(F.col("line"))).select("rid", "tk", "p", F.xxhash64("line").alias("a"))
+    near = Window.partitionBy("rid", "tk").orderBy("p")
+    rows = lines.select("rid", "tk", "a", (F.row_number().over(near) - 1).alias("i"), F.lead("a").over(near).alias("b"))
+    rows = _named(rows, "a") if min_lines == 1 else _named(rows.where("b is not null"), "a", "b")
     have = min(2, min_lines)
     near = Window.partitionBy("rid", "tk").orderBy("i")
     while have < min_lines:
@@ -78,19 +75,19 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     )
     found = later_copies(keyed.select(F.col("_rid").alias("rid"), F.col("_tk").alias("tk"), F.col("text").cast("string").alias("text")), min_lines)
     starts = found.groupBy(F.col("rid").alias("_rid"), F.col("tk").alias("_tk")).agg(F.collect_list("i").alias("_starts"))
-    lines = F.col("_lines")
-    gone = F.array_distinct(
-        F.flatten(F.transform("_starts", lambda s: F.transform(F.sequence(s, s + (min_lines - 1)), lambda j: F.get("_filled", j))))
-    )
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    whole = keyed.join(starts, ["_rid", "_tk"], "left").withColumn("_lines", F.split(F.col("text").cast("string"), "\n", -1))
-    whole = whole.withColumn("_filled", F.when(F.col("_starts").isNotNull(), _filled(lines))).withColumn("_gone", gone)
     removed = F.col("_starts").isNotNull()
+    whole = keyed.join(starts, ["_rid", "_tk"], "left")
+    whole = _once(whole, "_lines", F.when(removed, F.split(F.col("text").cast("string"), "\n", -1)))
+    every = F.sequence(F.lit(0), F.size("_lines") - 1)
+    whole = _once(whole, "_filled", F.when(removed, F.filter(every, lambda i: _is_filled(F.get("_lines", i)))))
+    gone = F.flatten(F.transform("_starts", lambda s: F.transform(F.sequence(s, s + (min_lines - 1)), lambda j: F.get("_filled", j))))
+    whole = _once(whole, "_kept", F.when(removed, F.array_except(every, gone)))
+    n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
     return whole.select(
         *(c for c in docs.columns if c != "text"),
-        F.when(removed, F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).otherwise(F.col("text")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-        F.when(removed, F.size("_gone")).otherwise(0).cast("bigint").alias("n_removed"),
+        F.when(removed, F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("text").isNull(), 0).when(removed, F.size("_lines")).otherwise(n_lines).cast("bigint").alias("n_lines"),
+        F.when(removed, F.size("_lines") - F.size("_kept")).otherwise(0).cast("bigint").alias("n_removed"),
     )
 
 
