@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ class CrackedTable:
         self.policy = policy
         self.columns = [c for c in df.columns if c != "pos"]
         self.hits = 0
+        self._kept: DataFrame | None = None
         self._rows = df
         self.crack_on(on)
 
@@ -132,17 +134,32 @@ class CrackedTable:
         return runs.positions(found, "start").join(self._base.select("pos", column), "pos").select("key", column)
 
     def crack_at_quantiles(self, keys: DataFrame, pieces: int = 8) -> None:
-        """Splits once for a whole batch of keys."""
-        name = keys.columns[0]
-        for key in keys.approxQuantile(name, [i / pieces for i in range(1, pieces)], 0.01):
-            self._split(int(key))
+        """Splits once for a whole batch of keys: rows are dealt by piece and kept, so that a piece is read
+        alone and joins find the table laid out."""
+        found = keys.approxQuantile(keys.columns[0], [i / pieces for i in range(1, pieces)], 0.01)
+        bounds = sorted({*self._bounds, *map(int, found)})
+        source = self._entries if self._entries is not None else self._rows
+        number = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(self._key))) if bounds else F.lit(0)
+        self.close()
+        self._kept = source.withColumn("_piece", number).repartition(len(bounds) + 1, "_piece").persist(StorageLevel.MEMORY_AND_DISK)
+        if self._entries is not None:
+            self._entries = self._kept.drop("_piece")
+        else:
+            self._rows = self._kept.drop("_piece")
+        self._bounds = bounds
+        self._pieces = [(self._kept.where(F.col("_piece") == i).drop("_piece"), 0) for i in range(len(bounds) + 1)]
+
+    def close(self) -> None:
+        """Drops what a batch of cracks keeps."""
+        if self._kept is not None:
+            self._kept.unpersist()
+            self._kept = None
 
     def rows(self) -> DataFrame:
         """The whole bag, from its representation."""
-        out = self._pieces[0][0]
-        for piece, _ in self._pieces[1:]:
-            out = out.unionByName(piece)
-        return self._values(out, self.columns)
+        if self._entries is None:
+            return self._rows.select(*self.columns)
+        return self._values(self._entries, self.columns)
 
     def catalogue(self) -> CrackerIndex:
         """Boundaries with the number of values below each; one pass."""

@@ -53,5 +53,7 @@ class AccessPath:
         return self._edges.select("src", "dst")
 
     def close(self) -> None:
+        if self.table is not None:
+            self.table.close()
         if self._edges is not None and self.variant != "unoptimised":
             self._edges.unpersist()
