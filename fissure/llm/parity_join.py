@@ -15,7 +15,7 @@ sketches and give a forest of pairs that would join these groups; last, what sti
 gives every pair that the distance allows.  Equal sets are one node throughout.  No link is lost and no
 group is expanded into all its pairs.
 
-Defined cases: a null or empty text has no shingles and links with nothing; fewer words than a shingle
+Defined cases: a null or empty text has no shingles, links with nothing and is its own component; fewer words than a shingle
 has are one shingle; rows that share a doc_id are one document with several texts; null doc_ids are
 one document as well, the largest; other columns are ignored; an empty table gives an empty result.
 """
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ from fissure.llm.components import components
 
 BUCKET_BYTES = 6 << 20
 BAND = 1.25
+BROADCAST_IDS = 250_000  # 2 MB
 PAIRS = 256  # pairs verified at a time
 OPEN_ROWS = 10_000  # entries of blocks with several groups that are compared in one task
 
@@ -141,7 +143,7 @@ def _sets(words: int):
 
 
 def _blocks(words: int, num: int, den: int, n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]):
         bands = Bands(num, den)
         for t in C.chunks(batches):
             h, first = shingle_sets(t, words)
@@ -182,20 +184,23 @@ def _blocks(words: int, num: int, den: int, n_buckets: int):
                 name = (j[owner] * 1_000_003 + np.arange(len(owner)) - base[owner]).astype(C.U64)
                 keys.append(C.mix(parity + C.mix(name + C.U64(1)))[send])
                 docs.append(doc[owner[send]])
-            if not keys:
-                continue
-            key, doc = np.concatenate(keys), np.concatenate(docs)
-            order, found, cut = C.by_bucket(((key >> C.U64(20)) % C.U64(n_buckets)).astype(np.int64), n_buckets)
-            key, doc = key[order], doc[order].astype(np.int64)
-            packed = C.deltas(ids)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array(found, pa.int64()),
-                    "h": pa.array([key[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()),
-                    "doc": pa.array([C.deltas(doc[x:y].astype(np.int32)) for x, y in zip(cut, cut[1:])], pa.binary()),
-                    "ids": pa.array([packed] * len(found), pa.binary()),
-                }
-            )
+            key = np.concatenate(keys) if keys else np.zeros(0, C.U64)
+            doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+            yield t, {
+                "ids": ids,
+                "doc": doc,
+                "pos": np.zeros(len(doc), np.int64),
+                "h": key,
+                "bucket": ((key & C.U64(0xFFFFFFFF)) % C.U64(n_buckets)).astype(np.int64),
+            }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in C.gathered(entries(batches)):
+            by = np.argsort(e["doc"], kind="stable")
+            e |= {k: e[k][by] for k in ("doc", "h", "bucket")}
+            order, cut, row = C.packed(e, n_buckets)
+            # The bucket's slice of the hash space and 32 bits more: what meets by chance is verified anyway.
+            yield pa.RecordBatch.from_pydict(row | {"h": C.slices((e["h"][order] >> C.U64(32)).astype(np.uint32), cut)})
 
     return run
 
@@ -203,10 +208,9 @@ def _blocks(words: int, num: int, den: int, n_buckets: int):
 def _shared(table: pa.Table) -> pa.Table:
     """Entries of keys that two or more ids hold, each with the least of these ids."""
     hs, ds = [], []
-    for batch in table.to_batches():
-        for row in batch.to_pylist():
-            hs.append(np.frombuffer(row["h"], C.U64))
-            ds.append(C.undeltas(row["ids"], np.int64)[C.undeltas(row["doc"], np.int32)])
+    for row, ids, doc, _ in C.unpacked(table):
+        hs.append(np.frombuffer(row["h"], np.uint32).astype(np.int64) | (row["bucket"] << 32))
+        ds.append(ids[doc])
     h, d = np.concatenate(hs), np.concatenate(ds)
     order = np.argsort(h, kind="stable")
     h, d = h[order], d[order]
@@ -216,7 +220,7 @@ def _shared(table: pa.Table) -> pa.Table:
     out = np.repeat(least < most, size)
     return pa.table(
         {
-            "key": pa.array(h[out].view(np.int64), pa.int64()),
+            "key": pa.array(h[out], pa.int64()),
             "rid": pa.array(d[out], pa.int64()),
             "center": pa.array(np.repeat(least, size)[out], pa.int64()),
         }
@@ -301,7 +305,12 @@ def _linked(t: C.Texts, words: int, num: int, den: int) -> np.ndarray:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link.  Each join moves a text once per pair; hot centres are split by AQE."""
+    """The pairs (a, b) that link.  Texts are first cut down to those of the pairs, by a broadcast if their
+    ids are few; then each join moves a text once per pair, and hot centres are split by AQE."""
+    pairs = C.cut(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    few = ids.count() <= BROADCAST_IDS
+    texts = texts.join(F.broadcast(ids) if few else ids, "rid", "left_semi")
     a = texts.select(F.col("rid").alias("a"), F.col("z").alias("za"))
     b = texts.select(F.col("rid").alias("b"), F.col("z").alias("zb"))
     return C.cut(pairs.join(a, "a").join(b, "b").select("a", "b", "za", "zb").mapInArrow(_links(words, num, den), "a bigint, b bigint"))
@@ -322,9 +331,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     rows = C.cut(sets.drop("fine").join(reps, ["s1", "s2"], "left").select("rid", "n", "rep"))
     nodes = rows.where("rep = rid").select("rid", "n").distinct()
 
-    shared = docs.mapInArrow(_blocks(words, num, den, n_buckets), "bucket bigint, h binary, doc binary, ids binary")
+    shared = docs.mapInArrow(_blocks(words, num, den, n_buckets), C.PACKED + ", h binary")
     shared = shared.groupBy("bucket").applyInArrow(_shared, "key bigint, rid bigint, center bigint")
-    members = C.cut(shared.join(nodes, "rid").select("rid", "key", "center", "n"))
+    # Many rows, so a compressed cache and no checkpoint: what a lost executor held is made again.
+    members = shared.join(nodes, "rid").select("rid", "key", "center", "n").persist(StorageLevel.DISK_ONLY)
     texts = docs.mapInArrow(_squeeze, "rid bigint, z binary")
 
     firsts = members.where("rid <> center").groupBy(F.col("rid").alias("a")).agg(F.min("center").alias("b"))
@@ -334,15 +344,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     for forest in (True, False):
         named = members.join(final, members.rid == final.node, "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
         apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        still = C.cut(named.join(apart, "key"))
+        still = named.join(apart, "key").persist(StorageLevel.DISK_ONLY)
         n_still = still.count()
         if not n_still:
+            still.unpersist()
             break
         fine = sets.select("rid", "n", "fine").distinct()
         held = still.join(fine, ["rid", "n"]).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(C.buckets(n_still, OPEN_ROWS))))
         across = held.groupBy("g").applyInArrow(_across(num, den, forest), "a bigint, b bigint").distinct()
         links = links.unionAll(_verify(across, texts, words, num, den))
+        still.unpersist()
         final = components(links)
+    members.unpersist()
     out = rows.join(final, rows.rep == final.node, "left")
     return out.select(
         F.when(F.col("rid") != C.NULL_ID, F.col("rid")).alias("doc_id"),
