@@ -13,12 +13,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+# Arrays over 8 MB go back to the system when freed: a worker that lives on keeps no peak of an old task.
+if hasattr(ctypes.CDLL(None), "mallopt"):
+    ctypes.CDLL(None).mallopt(-3, 8 << 20)
+
+CHUNK_BYTES = 2 << 20
+BATCH_ROWS = 1000
 NULL_ID = (1 << 63) - 1
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 5)
@@ -40,8 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Documents are long: fewer of them cross to Python at a time than by Spark's default."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, text) of a documents table; rid stands in for a null doc_id and sorts last."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"),
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -243,6 +257,77 @@ def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return order, found, np.r_[0, np.cumsum(count[found])]
 
 
+PACK_BYTES = 12 << 20  # text whose entries are packed together
+
+
+def gathered(parts: Iterator[tuple[Texts, dict[str, np.ndarray]]], size: int = PACK_BYTES) -> Iterator[dict[str, np.ndarray]]:
+    """Entries of several chunks side by side, until their texts reach ``size`` bytes.
+
+    Each part has ``ids`` (and any other ``doc_`` column) per document and the rest per entry; its
+    ``doc`` numbers documents within the part.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    docs = n_bytes = 0
+    for t, part in parts:
+        if len(part["doc"]):
+            held.append(part | {"doc": part["doc"] + docs})
+            docs += len(part["ids"])
+        n_bytes += len(t.data)
+        if held and n_bytes >= size:
+            yield {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+            held, docs, n_bytes = [], 0, 0
+    if held:
+        yield {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+
+
+def packed(entries: dict[str, np.ndarray], n_buckets: int) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]:
+    """Entries by bucket: their order, the bounds of each packed row, and its columns.
+
+    A row names only the documents that it has entries of, so rows stay as small as their entries
+    however many buckets there are.
+    """
+    order, found, cut = by_bucket(entries["bucket"], n_buckets)
+    doc, ids, pos = entries["doc"][order], entries["ids"], entries["pos"][order]
+    new = np.ones(len(doc), bool)
+    new[1:] = doc[1:] != doc[:-1]
+    new[cut[:-1]] = True
+    head = np.flatnonzero(new)
+    count = np.diff(np.r_[head, len(doc)]).astype(np.uint32)
+    step = np.diff(pos, prepend=0).astype(np.uint32)
+    step[head] = pos[head]
+    own = ids[doc[head]]
+    edge = np.searchsorted(head, cut).tolist()
+    out = {
+        "bucket": pa.array(found, pa.int64()),
+        "ids": pa.array([deltas(own[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()),
+        "count": pa.array([planes(count[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()),
+        "pos": pa.array([planes(step[a:b]) for a, b in zip(cut.tolist(), cut[1:].tolist())], pa.binary()),
+    }
+    if "doc_tk" in entries:
+        tk = entries["doc_tk"][doc[head]]
+        out["tk"] = pa.array([tk[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())
+    return order, cut, out
+
+
+PACKED = "bucket bigint, ids binary, count binary, pos binary"
+
+
+def slices(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    return pa.array([values[a:b].tobytes() for a, b in zip(cut.tolist(), cut[1:].tolist())], pa.binary())
+
+
+def unpacked(table: pa.Table) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each packed row with its documents' ids, and each entry's document and position."""
+    for batch in table.to_batches():
+        for row in batch.to_pylist():
+            count = unplanes(row["count"], np.uint32).astype(np.int64)
+            step = unplanes(row["pos"], np.uint32).astype(np.int64)
+            total = np.cumsum(step)
+            head = np.cumsum(count) - count
+            pos = total - np.repeat(total[head] - step[head], count)
+            yield row, undeltas(row["ids"], np.int64), np.repeat(np.arange(len(count)), count), pos
+
+
 def group_bounds(sorted_values: np.ndarray) -> np.ndarray:
     """First index of each run of equal values."""
     if not len(sorted_values):

@@ -33,54 +33,39 @@ SPAN = "array<struct<tk: bigint, start: int, n: int>>"
 
 def _content_keys(wh: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A hash of each document's words: tells rows that share an id apart."""
-    return C.span(C.prefix(wh), first[:-1], first[1:]).view(np.int64)
+    return (C.span(C.prefix(wh), first[:-1], first[1:]) >> C.U64(32)).astype(np.uint32)
 
 
 def _anchors(block: int, min_words: int, n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]):
         for t in C.chunks(batches):
             wh, first = t.word_hashes()
             count = np.diff(first)
-            keep = np.flatnonzero(count >= min_words)
-            if not len(keep):
-                continue
-            at = C.ragged(first[:-1][keep], count[keep] - block + 1)  # starts of probes
-            h = C.rolling(C.prefix(wh), block)[at]
-            place = C.ragged(np.cumsum(count[keep]) - count[keep], count[keep] - block + 1).astype(np.uint32)
-            bucket = ((h >> C.U64(32)) % C.U64(n_buckets)).astype(np.int64)
-            order, found, cut = C.by_bucket(bucket, n_buckets)
-            h32, place = h.astype(np.uint32)[order], place[order]
-            ids, n = C.deltas(t.ids()[keep]), C.planes(count[keep].astype(np.uint32))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array(found, pa.int64()),
-                    "h": pa.array([h32[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-                    "place": pa.array([C.deltas(place[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()),
-                    "ids": pa.array([ids] * len(found), pa.binary()),
-                    "n": pa.array([n] * len(found), pa.binary()),
-                }
-            )
-
-    return run
+            probes = np.where(count >= min_words, count - block + 1, 0)
+            at = C.ragged(first[:-1], probes)  # starts of probes
+            h = C.rolling(C.prefix(wh), block)[at] if len(at) else np.zeros(0, C.U64)
+            yield t, {
+                "ids": t.ids(),
+                "doc": np.repeat(np.arange(t.n), probes),
+                "pos": C.ragged(np.zeros(t.n), probes),
+                "h": h.astype(np.uint32),
+                "bucket": ((h >> C.U64(32)) % C.U64(n_buckets)).astype(np.int64),
+            }
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in C.gathered(entries(batches)):
+            order, cut, row = C.packed(e, n_buckets)
+            yield pa.RecordBatch.from_pydict(row | {"h": C.slices(e["h"][order], cut)})
 
-def _places(table: pa.Table) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
-    """For each packed row: the row, each entry's document in it, and the entry's word there."""
-    for batch in table.to_batches():
-        for row in batch.to_pylist():
-            n = C.unplanes(row["n"], np.uint32).astype(np.int64)
-            place = C.undeltas(row["place"], np.uint32).astype(np.int64)
-            end = np.cumsum(n)
-            doc = np.searchsorted(end, place, "right")
-            yield row, doc, place - (end - n)[doc]
+    return run
 
 
 def _hits(block: int):
     def run(table: pa.Table) -> pa.Table:
         hs, ds, ps = [], [], []
-        for row, doc, pos in _places(table):
+        for row, ids, doc, pos in C.unpacked(table):
             hs.append(np.frombuffer(row["h"], np.uint32))
-            ds.append(C.undeltas(row["ids"], np.int64)[doc])
+            ds.append(ids[doc])
             ps.append(pos.astype(np.int32))
         h, d, p = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
         ref = np.flatnonzero(p % block == 0)
@@ -99,7 +84,7 @@ def _hits(block: int):
 
 
 def _windows(block: int, min_words: int, n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]):
         for t in C.chunks(batches):
             wh, first = t.word_hashes()
             count = np.diff(first)
@@ -111,27 +96,24 @@ def _windows(block: int, min_words: int, n_buckets: int):
             doc, pos = doc[fits], pos[fits]
             lo = np.maximum(pos - (min_words - block), 0)
             hi = np.minimum(pos, count[doc] - min_words)
-            near = C.covered(len(wh), first[doc] + lo, np.maximum(hi - lo + 1, 0))
-            at = np.flatnonzero(near)
-            if not len(at):
-                continue
+            at = np.flatnonzero(C.covered(len(wh), first[doc] + lo, np.maximum(hi - lo + 1, 0)))
+            doc = np.searchsorted(first, at, "right") - 1
             p = C.prefix(wh)
-            key = C.rolling(p, min_words)[at]
-            home = C.sliding_min(C.rolling(p, block), min_words - block + 1)[at]
-            bucket = (C.mix(home + C.U64(1)) % C.U64(n_buckets)).astype(np.int64)
-            order, found, cut = C.by_bucket(bucket, n_buckets)
-            key, place = key[order], at[order].astype(np.uint32)
-            ids, tk, n = C.deltas(t.ids()), C.planes(_content_keys(wh, first)), C.planes(count.astype(np.uint32))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array(found, pa.int64()),
-                    "h": pa.array([key[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-                    "place": pa.array([C.deltas(place[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()),
-                    "ids": pa.array([ids] * len(found), pa.binary()),
-                    "n": pa.array([n] * len(found), pa.binary()),
-                    "tk": pa.array([tk] * len(found), pa.binary()),
-                }
-            )
+            none = np.zeros(0, C.U64)
+            home = C.sliding_min(C.rolling(p, block), min_words - block + 1)[at] if len(at) else none
+            yield t, {
+                "ids": t.ids(),
+                "doc_tk": _content_keys(wh, first),
+                "doc": doc,
+                "pos": at - first[doc],
+                "h": C.rolling(p, min_words)[at] if len(at) else none,
+                "bucket": (C.mix(home + C.U64(1)) % C.U64(n_buckets)).astype(np.int64),
+            }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in C.gathered(entries(batches)):
+            order, cut, row = C.packed(e, n_buckets)
+            yield pa.RecordBatch.from_pydict(row | {"h": C.slices(e["h"][order], cut)})
 
     return run
 
@@ -139,10 +121,10 @@ def _windows(block: int, min_words: int, n_buckets: int):
 def _runs(table: pa.Table) -> pa.Table:
     """Windows that a smaller id holds, as runs within documents."""
     hs, ds, ps, ts, rows = [], [], [], [], []
-    for i, (row, doc, pos) in enumerate(_places(table)):
+    for i, (row, ids, doc, pos) in enumerate(C.unpacked(table)):
         hs.append(np.frombuffer(row["h"], C.U64))
-        ds.append(C.undeltas(row["ids"], np.int64)[doc])
-        ts.append(C.unplanes(row["tk"], np.int64)[doc])
+        ds.append(ids[doc])
+        ts.append(np.frombuffer(row["tk"], np.uint32).astype(np.int64)[doc])
         ps.append(pos)
         rows.append((i << 32) + doc)
     h, d, p, t, r = map(np.concatenate, (hs, ds, ps, ts, rows))
@@ -207,7 +189,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, block: int | None = No
         raise ValueError("block must be between 1 and (min_words + 1) // 2")
     docs = C.documents(docs).select("rid", "text")  # the same columns in both joins: one exchange serves both
     n = C.buckets(C.text_bytes(docs), BUCKET_BYTES)
-    packed = "bucket bigint, h binary, place binary, ids binary, n binary"
+    packed = C.PACKED + ", h binary"
     hits = (
         docs.mapInArrow(_anchors(block, min_words, n), packed)
         .groupBy("bucket")
@@ -218,7 +200,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, block: int | None = No
     runs = (
         docs.join(hits, "rid")
         .select("rid", "text", "pos")
-        .mapInArrow(_windows(block, min_words, n), packed + ", tk binary")
+        .mapInArrow(_windows(block, min_words, n), C.PACKED + ", tk binary, h binary")
         .groupBy("bucket")
         .applyInArrow(_runs, "rid bigint, tk bigint, start int, n int")
         .groupBy("rid")

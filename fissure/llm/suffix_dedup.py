@@ -26,10 +26,9 @@ from pyspark.sql import functions as F
 from fissure.llm import common as C
 
 GRAM = 64
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 3 << 20
 FEW_BYTES = 1 << 19  # what is hashed at a time: it stays in the cache
 WIDE = 64  # intervals over this width are extended by rank, others element by element
-PACKED = "bucket bigint, h binary, place binary, ids binary, n binary"
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -178,52 +177,40 @@ def _few_segments(data: np.ndarray, off: np.ndarray, size: int, base: int) -> tu
     return start + base, wins, value, twice
 
 
-def _slices(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return C.by_bucket((C.mix(h) % C.U64(n_buckets)).astype(np.int64), n_buckets)
-
-
-def _row(t: C.Texts, found: np.ndarray, cut: np.ndarray, h: np.ndarray, place: np.ndarray) -> dict:
-    ids, n = C.deltas(t.ids()), C.planes(np.diff(t.off).astype(np.uint32))
+def _entries(t: C.Texts, start: np.ndarray, value: np.ndarray, n_buckets: int) -> dict[str, np.ndarray]:
+    doc = np.searchsorted(t.off, start, "right") - 1
     return {
-        "bucket": pa.array(found, pa.int64()),
-        "h": pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
-        "place": pa.array([C.deltas(place[a:b].astype(np.uint32)) for a, b in zip(cut, cut[1:])], pa.binary()),
-        "ids": pa.array([ids] * len(found), pa.binary()),
-        "n": pa.array([n] * len(found), pa.binary()),
+        "ids": t.ids(),
+        "doc": doc,
+        "pos": start - t.off[doc],
+        "h": value,
+        "bucket": (C.mix(value) % C.U64(n_buckets)).astype(np.int64),
     }
 
 
 def _anchors(size: int, n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]):
         for t in C.chunks(batches):
             start, _, value, twice = _segments(t, size)
-            if not len(start):
-                continue
-            order, found, cut = _slices(value, n_buckets)
-            row = _row(t, found, cut, value[order], start[order])
-            twice = twice[order]
+            yield t, _entries(t, start, value, n_buckets) | {"twice": twice}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in C.gathered(entries(batches)):
+            order, cut, row = C.packed(e, n_buckets)
+            twice = e["twice"][order]
+            row["h"] = C.slices(e["h"][order], cut)
             row["twice"] = pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
             yield pa.RecordBatch.from_pydict(row)
 
     return run
 
 
-def _unpack(table: pa.Table) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each packed row: the row, anchor values, and each entry's document and byte in it."""
-    for batch in table.to_batches():
-        for row in batch.to_pylist():
-            n = C.unplanes(row["n"], np.uint32).astype(np.int64)
-            place = C.undeltas(row["place"], np.uint32).astype(np.int64)
-            end = np.cumsum(n)
-            doc = np.searchsorted(end, place, "right")
-            yield row, np.frombuffer(row["h"], C.U64), doc, place - (end - n)[doc]
-
-
 def _repeated(table: pa.Table) -> pa.Table:
     hs, ds, ps, ts = [], [], [], []
-    for row, h, doc, pos in _unpack(table):
+    for row, ids, doc, pos in C.unpacked(table):
+        h = np.frombuffer(row["h"], C.U64)
         hs.append(h)
-        ds.append(C.undeltas(row["ids"], np.int64)[doc])
+        ds.append(ids[doc])
         ps.append(pos.astype(np.int32))
         ts.append(np.unpackbits(np.frombuffer(row["twice"], np.uint8), count=len(h)))
     h, d, p, t = map(np.concatenate, (hs, ds, ps, ts))
@@ -236,7 +223,7 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 def _text_keys(t: C.Texts) -> np.ndarray:
     """A hash of each text: tells rows that share an id apart."""
-    return C.span(C.prefix(C.BYTE_CODE[t.data]), t.off[:-1], t.off[1:]).view(np.int64)
+    return (C.span(C.prefix(C.BYTE_CODE[t.data]), t.off[:-1], t.off[1:]) >> C.U64(32)).astype(np.uint32)
 
 
 def _bodies(size: int, n_buckets: int):
@@ -250,15 +237,13 @@ def _bodies(size: int, n_buckets: int):
             start, wins, value = start[mine], wins[mine], value[mine]
             if not len(start):
                 continue
-            order, found, cut = _slices(value, n_buckets)
-            start, value, size_of = start[order], value[order], (wins + size - 1)[order]
-            row = _row(t, found, cut, value, start)
-            body = t.data[C.ragged(start, size_of)].tobytes()
-            edge = np.r_[0, np.cumsum(size_of)][cut]
-            keys = C.planes(_text_keys(t))
-            row["tk"] = pa.array([keys] * len(found), pa.binary())
-            row["sizes"] = pa.array([C.planes(size_of[a:b].astype(np.uint32)) for a, b in zip(cut, cut[1:])], pa.binary())
-            row["body"] = pa.array([body[a:b] for a, b in zip(edge, edge[1:])], pa.binary())
+            e = _entries(t, start, value, n_buckets) | {"doc_tk": _text_keys(t)}
+            order, cut, row = C.packed(e, n_buckets)
+            sizes = (wins + size - 1)[order]
+            body = t.data[C.ragged(start[order], sizes)]
+            row["h"] = C.slices(value[order], cut)
+            row["sizes"] = pa.array([C.planes(sizes[a:b].astype(np.uint32)) for a, b in zip(cut, cut[1:])], pa.binary())
+            row["body"] = C.slices(body, np.r_[0, np.cumsum(sizes)][cut])
             yield pa.RecordBatch.from_pydict(row)
 
     return run
@@ -284,7 +269,8 @@ def _matches(size: int):
     def run(table: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
         values, seg, ds, ps, ts = [], [], [], [], []
-        for row, h, doc, pos in _unpack(table):
+        for row, ids, doc, pos in C.unpacked(table):
+            h = np.frombuffer(row["h"], C.U64)
             edge = np.r_[0, np.cumsum(C.unplanes(row["sizes"], np.uint32).astype(np.int64))].tolist()
             body = row["body"]
             for k, (a, b) in enumerate(zip(edge, edge[1:])):
@@ -292,8 +278,8 @@ def _matches(size: int):
                 if s == len(values):
                     values.append(h[k])
                 seg.append(s)
-            ds.append(C.undeltas(row["ids"], np.int64)[doc])
-            ts.append(C.unplanes(row["tk"], np.int64)[doc])
+            ds.append(ids[doc])
+            ts.append(np.frombuffer(row["tk"], np.uint32).astype(np.int64)[doc])
             ps.append(pos)
         seg = np.array(seg, np.int64)
         d, p, t = map(np.concatenate, (ds, ps, ts))
@@ -370,7 +356,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 200, keep_text: bool = True)
     docs = C.documents(docs).select("rid", "text")  # the same columns in both joins: one exchange serves both
     n = C.buckets(C.text_bytes(docs), BUCKET_BYTES)
     hits = (
-        docs.mapInArrow(_anchors(min_bytes, n), PACKED + ", twice binary")
+        docs.mapInArrow(_anchors(min_bytes, n), C.PACKED + ", h binary, twice binary")
         .groupBy("bucket")
         .applyInArrow(_repeated, "rid bigint, pos int")
         .groupBy("rid")
@@ -379,7 +365,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 200, keep_text: bool = True)
     runs = (
         docs.join(hits, "rid")
         .select("rid", "text", "pos")
-        .mapInArrow(_bodies(min_bytes, n), PACKED + ", tk binary, sizes binary, body binary")
+        .mapInArrow(_bodies(min_bytes, n), C.PACKED + ", tk binary, h binary, sizes binary, body binary")
         .groupBy("bucket")
         .applyInArrow(_matches(min_bytes), "rid bigint, tk bigint, start int, n int")
         .groupBy("rid")
