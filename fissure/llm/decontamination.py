@@ -219,6 +219,7 @@ class Index:
 
 
 def _indexes(benchmark: DataFrame, threshold: float) -> list[Index]:
+    C.small_batches(benchmark.sparkSession)
     items = benchmark.where("text is not null and text <> ''").select("item_id", F.col("text").cast("string").alias("text"))
     parts = C.buckets(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0, MAX_INDEX_BYTES // 2)
     out = []

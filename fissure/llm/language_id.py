@@ -120,6 +120,7 @@ class LanguageModel:
 
 def fit_language_model(labelled: DataFrame) -> LanguageModel:
     """Learns from text and lang of all given rows with a language."""
+    C.small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
     sums = rows.mapInArrow(_counts, "lang string, counts binary").groupBy("lang").applyInArrow(_total, "lang string, counts binary")
     found = sorted((r["lang"], r["counts"]) for r in sums.limit(MAX_LANGUAGES + 1).collect())

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fissure.llm import common as C
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 800_000
 JOINED = 50
 # Classes of bytes between which a pre-tokenizer that keeps letters, digits and signs apart always
 # splits; an apostrophe (contractions), controls and bytes of longer characters are in none.
