@@ -138,25 +138,51 @@ def _pick_terms(n_terms: int, totals: tuple[int, int]):
     return run
 
 
-def _found(t: C.Texts, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, term) pairs of a chunk, and each document's count of matches."""
-    h, d = terms(t)
-    at = np.searchsorted(known, h)
-    hit = known[np.minimum(at, len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
-    pair = np.unique(d[hit] * max(1, len(known)) + at[hit])
-    return pair // max(1, len(known)), pair % max(1, len(known)), np.bincount(d[hit], minlength=t.n)
+class Terms:
+    """Known terms: sorted hashes and their log-odds."""
+
+    def __init__(self, hashes: np.ndarray, odds: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.odds = hashes[order], odds[order]
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+
+def _found(t: C.Texts, known: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, term) pairs of a chunk, and each document's count of matches.
+
+    A word counts as one term, of those that it has the one with the highest odds: a beginning that many
+    forms share stands for all of them.
+    """
+    data = _letters(t.data)
+    starts, ends, first = C.word_spans(data, t.off)
+    doc = np.repeat(np.arange(t.n), np.diff(first))
+    if not len(known) or not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(t.n, np.int64)
+    p = C.prefix(C.BYTE_CODE[data])
+    best, best_odds = np.zeros(len(starts), np.int64), np.full(len(starts), -np.inf)
+    for k in (*BEGINNINGS, 0):
+        at = np.flatnonzero(ends - starts >= k) if k else np.arange(len(starts))
+        h = C.mix(C.span(p, starts[at], starts[at] + k) + C.U64(k)) if k else C.span(p, starts, ends)
+        i = np.minimum(np.searchsorted(known.hashes, h), len(known) - 1)
+        better = (known.hashes[i] == h) & (known.odds[i] > best_odds[at])
+        best[at[better]], best_odds[at[better]] = i[better], known.odds[i[better]]
+    hit = np.isfinite(best_odds)
+    pair = np.unique(doc[hit] * len(known) + best[hit])
+    return pair // len(known), pair % len(known), np.bincount(doc[hit], minlength=t.n)
 
 
 PATTERNS = ("terms_3", "density", "first_words", "marks", "shouting", "doubled_signs")
 
 
-def votes(t: C.Texts, known: np.ndarray) -> np.ndarray:
+def votes(t: C.Texts, known: Terms) -> np.ndarray:
     """Votes of all voters on each document of a chunk: 1, 0, or -1 to abstain."""
     doc, term, count = _found(t, known)
     n_words = np.maximum(1, np.diff(t.words()[2]))
     out = np.full((t.n, N_LEXICONS + len(PATTERNS)), -1, np.int8)
     any_term = np.bincount(doc, minlength=t.n)
-    lexicon = (known[term] >> C.U64(17)) % C.U64(N_LEXICONS) if len(known) else term
+    lexicon = (known.hashes[term] >> C.U64(17)) % C.U64(N_LEXICONS)
     out[doc, lexicon.astype(np.int64)] = 1
     out[:, N_LEXICONS] = np.where(any_term >= 3, 1, np.where(any_term == 0, 0, -1))
     rate = count / n_words
@@ -199,9 +225,12 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarr
     """
     n, m = v.shape
     shown = np.stack([v == -1, v == 0, v == 1], 2).astype(np.float64)
-    said = (v == 1).sum(1) - (v == 0).sum(1) / max(1, m)
+    raw = (v == 1).astype(float) - (v == 0)
+    raw = (raw - raw.mean(0)) / (raw.std(0) + 1e-9)
+    copies = 1.0 / (np.abs(raw.T @ raw / max(1, n)) > 0.8).sum(1).clip(1)  # voters that say the same count once
+    said = ((v == 1) * copies).sum(1) - ((v == 0) * copies).sum(1)
     q = np.clip(np.where(said > 0, 0.95, prior / 10), 1e-4, 1 - 1e-4)
-    share = np.ones(m)
+    share = copies
     corr = np.eye(m)
     for step in range(rounds):
         tables = np.stack([(w[:, None, None] * shown).sum(0) + 0.5 for w in (1 - q, q)])
@@ -212,7 +241,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarr
             rest = (v == 1).astype(float) - (v == 0) - mean
             scale = np.sqrt((rest**2).mean(0)) + 1e-9
             corr = (rest / scale).T @ (rest / scale) / n
-            share = 1.0 / np.abs(np.where(np.abs(corr) > 0.2, corr, 0.0)).sum(1).clip(1.0)
+            share = np.minimum(copies, 1.0 / np.abs(np.where(np.abs(corr) > 0.2, corr, 0.0)).sum(1).clip(1.0))
         odds = np.log(prior / (1 - prior)) + ((logs[:, 1] - logs[:, 0]) * share).sum(1)
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if step > rounds // 2 and np.abs(new - q).max() < 1e-6:
@@ -221,7 +250,7 @@ def label_model(v: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarr
     return q, tables, corr
 
 
-def logistic(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, n: int, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+def logistic(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, n: int, ridge: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression over sparse 0/1 rows, by accelerated gradient steps."""
     count = np.array([len(r) for r in rows])
     col = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
@@ -240,7 +269,7 @@ def logistic(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, n:
 
 
 class ToxicityModel:
-    def __init__(self, known: np.ndarray, weights: np.ndarray, intercept: float):
+    def __init__(self, known: Terms, weights: np.ndarray, intercept: float):
         self.known, self.weights, self.intercept = known, weights, intercept
 
 
@@ -254,7 +283,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PE
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
-        return ToxicityModel(np.zeros(0, C.U64), np.zeros(0), 30.0 if n1 else -30.0)
+        return ToxicityModel(Terms(np.zeros(0, C.U64), np.zeros(0)), np.zeros(0), 30.0 if n1 else -30.0)
     pick = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("rid"), "rid").limit(max_per_label) for y in (0, 1)]
     sample = C.cut(pick[0].unionAll(pick[1]))  # at most 2 * max_per_label pairs of integers, broadcast
     texts = C.documents(docs).select("rid", "text")
@@ -263,20 +292,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PE
     rows = texts.join(F.broadcast(sample), "rid").select("text", "toxic")
     used = (sum(y == 0 for _, y in single), sum(y == 1 for _, y in single))
     if not min(used):
-        return ToxicityModel(np.zeros(0, C.U64), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
+        return ToxicityModel(Terms(np.zeros(0, C.U64), np.zeros(0)), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
     found = (
         rows.mapInArrow(_document_counts, "g int, h binary, ones binary, zeros binary")
         .groupBy("g")
         .applyInArrow(_pick_terms(N_TERMS, used), "h bigint, odds double")
         .collect()
     )
-    terms_ = np.sort(np.array([r["h"] for r in found], np.int64).view(C.U64))
-    seen = rows.mapInArrow(_sample_votes(terms_), "toxic int, votes binary, terms binary").collect()
-    v = np.array([np.frombuffer(bytes(r["votes"]), np.int8) for r in seen])
-    y = np.array([r["toxic"] for r in seen])
-    sparse = [np.frombuffer(bytes(r["terms"]), np.uint16) for r in seen]
+    terms_ = Terms(np.array([r["h"] for r in found], np.int64).view(C.U64), np.array([r["odds"] for r in found], np.float64))
+    for last in (False, True):
+        seen = rows.mapInArrow(_sample_votes(terms_), "toxic int, votes binary, terms binary").collect()
+        v = np.array([np.frombuffer(bytes(r["votes"]), np.int8) for r in seen])
+        y = np.array([r["toxic"] for r in seen])
+        sparse = [np.frombuffer(bytes(r["terms"]), np.uint16) for r in seen]
+        if last or not len(seen):
+            break
+        # Where a word has several terms only one counts; terms that speak for label 1 no more go.
+        col = np.concatenate(sparse)
+        a, b = (np.bincount(col, weights=np.repeat(y == k, [len(x) for x in sparse]), minlength=len(terms_)) for k in (1, 0))
+        keep = np.log((a + 0.05) / (used[1] + 1)) - np.log((b + 0.05) / (used[0] + 1)) > MIN_ODDS
+        keep &= a > 0
+        if keep.all():
+            break
+        terms_ = Terms(terms_.hashes[keep], terms_.odds[keep])
     if not len(seen) or y.min() == y.max():
-        return ToxicityModel(np.zeros(0, C.U64), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
+        return ToxicityModel(Terms(np.zeros(0, C.U64), np.zeros(0)), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
     q, _, _ = label_model(v, float(np.clip(y.mean(), 0.01, 0.99)))
     if q[y == 1].mean() < q[y == 0].mean():
         q = 1 - q
