@@ -343,7 +343,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     final = components(links)
     for forest in (True, False):
         named = members.join(final, members.rid == final.node, "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
-        apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        code = F.xxhash64("rid", "n")
+        held_by = [F.count("*").alias("m"), *(F.sum(x).alias(f"c{i}") for i, x in enumerate((code.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(code, 32))))]
+        apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *held_by).where("lo < hi")
+        # Blocks that the same documents hold need one comparison.
+        apart = apart.groupBy("lo", "hi", "m", "c0", "c1").agg(F.min("key").alias("key")).select("key")
         still = named.join(apart, "key").persist(StorageLevel.DISK_ONLY)
         n_still = still.count()
         if not n_still:
@@ -369,3 +373,11 @@ def _all_reps(rows: DataFrame, split: DataFrame) -> DataFrame:
     return rows.join(split.select("rid", F.col("b").alias("least")), "rid").select(
         F.col("rep").alias("a"), F.col("least").alias("b")
     ).where("a <> b")
+
+
+def keep_first_of_components(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that ``found`` links with a lesser doc_id."""
+    lost = C.cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct())
+    if lost.count() <= BROADCAST_IDS:
+        lost = F.broadcast(lost)
+    return docs.join(lost, docs.doc_id.eqNullSafe(lost._lost), "left_anti")
