@@ -22,7 +22,7 @@ from fissure.llm.decontamination import drop_contaminated
 from fissure.llm.language_id import drop_unidentified
 from fissure.llm.line_dedup import drop_repeated_lines
 from fissure.llm.packing import pack_documents
-from fissure.llm.parity_join import jaccard_components
+from fissure.llm.parity_join import jaccard_components, keep_first_of_components
 from fissure.llm.queries import word_bpe_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -41,9 +41,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = jaccard_components(docs, words=5, num=80, den=100)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    return keep_first_of_components(docs, jaccard_components(docs, words=5, num=80, den=100))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
