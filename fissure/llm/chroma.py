@@ -2,9 +2,11 @@
 
 A recording (WAV, PCM) becomes frames of 12 pitch-class energies.  16 filters compare areas of a window
 of ``WINDOW`` frames, read from an integral image; each gives two Gray-coded bits, so every frame
-position has one packed 32-bit integer.  Recordings with equal sequences are one class.  Search joins
-every ``probe_step``-th integer of a query class with the integers of all classes, counts offsets of
-places, and the fullest offset of a pair is verified by its share of differing bits over the overlap.
+position has one packed 32-bit integer.  Recordings with equal sequences are one class.  Search is exact:
+bits as 1 and -1 make the agreement of two sequences at an offset a scalar product, so blocks of query
+classes meet blocks of all classes in one matrix product for each offset.  At a quarter of the bits no
+key that two codes must share is selective, so there is none.  Of the offsets of a pair whose overlap and share
+of differing bits are accepted, the one with most equal integers is given, then the one with fewest differing bits.
 
 Defined cases: a null, broken, empty or too short recording has an empty sequence, is its own class and
 matches nothing; silence has frames of zeros; a null id is left out; rows that share an id are one
@@ -22,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fissure.llm import common as C
+
 FRAME, HOP, WINDOW = 1024, 512, 16
 EDGE = 0.15
 MIN_OVERLAP = 16
+# Integers of a block, padded to its longest sequence, and of the sequences that are sorted by length at once.
+BLOCK, SORTED = 1 << 13, 1 << 20
 # Area filters (kind, lowest pitch class, pitch classes, frames), from a rule.
 FILTERS = [(k % 3, (5 * k) % 12, 2 + 2 * (k % 4), (4, 8, 12, 16)[k // 4]) for k in range(16)]
 
@@ -110,31 +116,108 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sequences, "id bigint, codes array<int>")
 
 
-def align_recordings(codes: DataFrame, is_query, probe_step: int = 2, max_bit_error: float = 0.25) -> DataFrame:
+def _blocks(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, asked: bool) -> Iterator[dict]:
+    """Rows of sequences of about one length."""
+    starts, order, at = np.cumsum(sizes) - sizes, np.argsort(sizes, kind="stable"), 0
+    while at < len(order):
+        padded = sizes[order[at:]] * np.arange(1, len(order) - at + 1)
+        some = order[at : at + max(1, int(np.searchsorted(padded, BLOCK, "right")))]
+        flat = codes[C.ragged(starts[some], sizes[some])]
+        yield {"asked": asked, "ids": ids[some].tobytes(), "sizes": sizes[some].tobytes(), "codes": flat.tobytes()}
+        at += len(some)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of all classes, and once more of those that are queries."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        ids, sizes, asked, codes = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        rows = [*_blocks(ids, sizes, codes, False), *_blocks(ids[asked], sizes[asked], codes[np.repeat(asked, sizes)], True)]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema({"asked": pa.bool_(), "ids": pa.binary(), "sizes": pa.binary(), "codes": pa.binary()}))
+
+    for batch in batches:
+        column = batch.column("codes")
+        asked = batch.column("asked").to_numpy(zero_copy_only=False).astype(bool)
+        flat = column.flatten().to_numpy().astype(np.int32)
+        held.append((batch.column("rep").to_numpy(), column.value_lengths().to_numpy().astype(np.int64), asked, flat))
+        if sum(len(x[3]) for x in held) >= SORTED:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
+def _unpacked(ids: bytes, sizes: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, sizes, padded codes, and their bits as 1 and -1, 0 in the padding."""
+    n = np.frombuffer(sizes, np.int64)
+    flat = np.frombuffer(codes, np.int32)
+    there = np.arange(n.max()) < n[:, None]
+    padded = np.zeros(there.shape, np.int32)
+    padded[there] = flat
+    bits = np.zeros((*there.shape, 32), np.float32)
+    bits[there] = np.unpackbits(flat.view(np.uint8)).reshape(-1, 32) * np.float32(2) - 1
+    return np.frombuffer(ids, np.int64), n, padded, bits.reshape(len(n), -1)
+
+
+def _aligned(x: tuple, y: tuple, max_bit_error: float) -> dict[str, np.ndarray]:
+    """The accepted pairs of two blocks, each at its best accepted offset."""
+    (xi, xn, xc, xb), (yi, yn, yc, yb) = x, y
+    other = xi[:, None] != yi
+    found = []
+    for o in range(MIN_OVERLAP - int(xn.max()), int(yn.max()) - MIN_OVERLAP + 1):
+        s = max(0, -o)
+        w = min(xc.shape[1] - s, yc.shape[1] - s - o)
+        if w < MIN_OVERLAP:
+            continue
+        same = xb[:, 32 * s : 32 * (s + w)] @ yb[:, 32 * (s + o) : 32 * (s + o + w)].T  # equal less differing bits
+        n = np.minimum.outer(xn - s, yn - s - o)
+        i, j = np.nonzero(same + 1 >= (32 - 64 * max_bit_error) * n)
+        keep = (n[i, j] >= MIN_OVERLAP) & other[i, j]
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        n = n[i, j]
+        error = (32 * n - np.round(same[i, j]).astype(np.int64)) // 2 / (32.0 * n)
+        equal = (xc[i, s : s + w] == yc[j, s + o : s + o + w]) & (np.arange(w) < n[:, None])
+        keep = error <= max_bit_error
+        found.append([v[keep] for v in (i, j, np.full(len(i), o), equal.sum(1), error)])
+    if not found:
+        return {}
+    i, j, o, votes, error = (np.concatenate(v) for v in zip(*found))
+    order = np.lexsort((-o, np.abs(o), error, -votes, j, i))
+    i, j, o, votes, error = (v[order] for v in (i, j, o, votes, error))
+    best = np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])][: len(i)]
+    return {"id": xi[i[best]], "other_id": yi[j[best]], "offset": o[best].astype(np.int32), "votes": votes[best].astype(np.int64), "bit_error": error[best]}
+
+
+def align_recordings(codes: DataFrame, is_query, max_bit_error: float = 0.25) -> DataFrame:
     """Rows of two kinds: ``member`` (id, other_id: the least id of its class) and ``match`` (classes id and
-    other_id with the offset of other_id's frames against id's, votes for it, and the share of bits
-    that differ).  ``is_query`` is a condition on id.
+    other_id with the offset of other_id's frames against id's, votes (equal integers) for it, and the share of bits
+    that differ): every pair with an offset that overlaps by ``MIN_OVERLAP`` places or more and differs in at most
+    ``max_bit_error`` of its bits.  ``is_query`` is a condition on id.
     """
+    C.small_batches(codes.sparkSession)
     keyed = codes.withColumn("k", F.when(F.size("codes") > 0, F.sha2(F.concat_ws(",", "codes"), 256)).otherwise(F.concat(F.lit("id "), "id")))
+    keyed = C.cut(keyed)  # decoded once
     classes = keyed.groupBy("k").agg(F.min("id").alias("rep"), F.max(is_query).alias("asked"), F.first("codes").alias("codes"))
     member = keyed.select("id", "k").join(classes.select("k", "rep"), "k").select("id", F.col("rep").alias("other_id"))
-    heads = classes.where(F.size("codes") > 0).select("rep", "asked", "codes")
-    posts = heads.select("rep", F.posexplode("codes").alias("place", "code"))
-    probes = heads.where("asked").select(F.col("rep").alias("q"), F.posexplode("codes").alias("at", "code"))
-    probes = probes.where(F.col("at") % probe_step == 0)
-    votes = probes.join(posts, "code").where("q <> rep").groupBy("q", "rep", (F.col("place") - F.col("at")).alias("offset")).count()
-    best = votes.groupBy("q", "rep").agg(F.max(F.struct("count", -F.abs("offset"), "offset")).alias("b"))
-    best = best.select("q", "rep", F.col("b.offset").alias("offset"), F.col("b.count").alias("votes"))
-    a = heads.select(F.col("rep").alias("q"), F.col("codes").alias("x"))
-    b = heads.select("rep", F.col("codes").alias("y"))
-    pairs = best.join(a, "q").join(b, "rep")
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    n = F.least(F.size("x") - start, F.size("y") - start - F.col("offset"))
-    pairs = pairs.withColumn("n", n).where(F.col("n") >= MIN_OVERLAP)
-    left, right = F.slice("x", start + 1, F.col("n")), F.slice("y", start + F.col("offset") + 1, F.col("n"))
-    bits = F.aggregate(F.zip_with(left, right, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, u: s + u)
-    pairs = pairs.withColumn("bit_error", bits / (32.0 * F.col("n"))).where(F.col("bit_error") <= max_bit_error)
-    match = pairs.select(F.lit("match").alias("kind"), F.col("q").alias("id"), F.col("rep").alias("other_id"), "offset", "votes", "bit_error")
+    heads = classes.where(F.size("codes") > 0).select("rep", F.coalesce("asked", F.lit(False)).alias("asked"), "codes")
+    n_parts = 4 * codes.sparkSession.sparkContext.defaultParallelism
+    blocks = C.cut(heads.repartition(n_parts).mapInArrow(_packed, "asked boolean, ids binary, sizes binary, codes binary"))
+    asks = blocks.where("asked").select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "sizes", "codes"))).coalesce(max(1, n_parts // 8))
+
+    def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y = ([batch.column(side + c)[row].as_py() for c in ("ids", "sizes", "codes")] for side in ("q_", ""))
+                found = _aligned(_unpacked(*x), _unpacked(*y), max_bit_error)
+                if found:
+                    yield pa.RecordBatch.from_pydict(found)
+
+    pairs = blocks.where("not asked").drop("asked").hint("shuffle_replicate_nl").crossJoin(asks)
+    pairs = pairs.mapInArrow(matches, "id bigint, other_id bigint, offset int, votes bigint, bit_error double")
+    match = pairs.select(F.lit("match").alias("kind"), "*")
     rest = member.select(
         F.lit("member").alias("kind"),
         "id",

@@ -425,6 +425,37 @@ def test_chroma_search(spark):
     assert align_recordings(codes.limit(0), F.col("id") < 40).count() == 0
 
 
+def test_chroma_search_is_exact(spark):
+    """Sequences of several lengths against brute force: most pairs share no integer at all."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(17)
+    base = rng.integers(0, 1 << 32, 90, np.uint64)
+    seq = {}
+    for i in range(60):
+        a = rng.integers(0, 40)
+        part = base[a : a + rng.integers(10, 51)]
+        noise = (rng.random((len(part), 32)) < rng.choice([0.1, 0.2, 0.25, 0.3])) @ (1 << np.arange(32, dtype=np.uint64))
+        seq[i] = (part ^ noise.astype(np.uint64)).astype(np.uint32)
+    seq[60], seq[61] = seq[0][:0], np.r_[seq[1][:20], seq[2], seq[1]]
+    codes = spark.createDataFrame([(i, c.astype(np.int32).tolist()) for i, c in seq.items()], "id bigint, codes array<int>")
+    expected = {}
+    for q in range(0, 62, 3):
+        for r in set(seq) - {q}:
+            good = []
+            for o in range(-len(seq[q]), len(seq[r])):
+                a, b = seq[q][max(0, -o) :], seq[r][max(0, o) :]
+                n = min(len(a), len(b))
+                if n >= 16 and (e := np.bitwise_count(a[:n] ^ b[:n]).sum() / (32 * n)) <= 0.25:
+                    good.append((-int((a[:n] == b[:n]).sum()), e, abs(o), -o))
+            if good:
+                votes, e, _, o = min(good)
+                expected[q, r] = (-o, -votes, e)
+    found = align_recordings(codes, F.col("id") % 3 == 0).where("kind = 'match'").collect()
+    assert {(r["id"], r["other_id"]): (r["offset"], r["votes"], r["bit_error"]) for r in found} == expected
+    assert len(found) == len(expected) and sum(v == 0 for _, v, _ in expected.values()) > 20
+
+
 def test_broken_audio():
     assert len(decode_wav(None)[0]) == len(decode_wav(b"RIFF junk")[0]) == 0
     assert len(fingerprint(chroma(np.zeros(0, np.float32), 4000))) == 0
