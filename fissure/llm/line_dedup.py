@@ -52,6 +52,8 @@ def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
     lines = docs.where("text is not null").select("rid", "tk", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
     lines = lines.where(_is_filled(F.col("line"))).select("rid", "tk", "p", F.xxhash64("line").alias("a"))
     near = Window.partitionBy("rid", "tk").orderBy("p")
+    before = lines.withColumn("before", F.lag("p").over(near))  # rows of one document have each place once
+    lines = before.where("before is null or before <> p").drop("before")
     rows = lines.select("rid", "tk", "a", (F.row_number().over(near) - 1).alias("i"), F.lead("a").over(near).alias("b"))
     rows = _named(rows, "a") if min_lines == 1 else _named(rows.where("b is not null"), "a", "b")
     have = min(2, min_lines)

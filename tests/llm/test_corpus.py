@@ -235,6 +235,14 @@ def test_line_dedup(spark, m):
         assert line_dedup(table(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_line_dedup_takes_equal_rows_as_one_document(spark, m):
+    rows = [(1, "p\nq\nr"), *[(2, "a\nb\nc")] * 2, *[(3, "d\ne\n\nf")] * 3, *[(None, "p\nq\nr\ng\nh")] * 2, *[(None, "k\nl\nm")] * 3]
+    found = drop_repeated_lines(table(spark, rows), m).select("doc_id", "text", "n_removed")
+    expected = [(i, t.replace("p\nq\nr\n", ""), 3) if "g" in t else (i, t, 0) for i, t in rows]
+    same(found.collect(), expected)
+
+
 def test_packing_is_exact(spark):
     rows = corpus(7) + [(300, "<|endoftext|> A.b"), (301, "don't stop'S 12,x")]
     path = word_bpe_path()
