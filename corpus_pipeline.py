@@ -3,7 +3,7 @@
 Stages, each (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents.
 
 1. language: documents whose language can't be told without ambiguity go.
-2. lines: later copies of runs of repeated lines go; a document of which nothing is left goes as well,
+2. lines: later copies of runs of repeated lines, and of single lines of 10 or more words, go; a document of which nothing is left goes as well,
    and n_chars follows the text.
 3. near_duplicates: of documents linked by five-word shingles at a similarity of 0.8 or more, the one
    with the least doc_id stays.
@@ -26,6 +26,8 @@ from fissure.llm.parity_join import jaccard_components, keep_first_of_components
 from fissure.llm.queries import word_bpe_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Words from which a line that is repeated between unlike neighbours is no accident.
+LONG_LINE = 10
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = drop_repeated_lines(docs.select(*COLUMNS))
+    rows = drop_repeated_lines(docs.select(*COLUMNS), long_line=LONG_LINE)
     left = (F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return rows.where(left).withColumn("n_chars", n_chars).select(*COLUMNS)

@@ -5,7 +5,10 @@ Prefix doubling names the suffixes by their first 1, 2, 4, ... lines: the distin
 range-partitioned and sorted, and their places become the names of twice the depth, so names keep the
 suffix array's order.  At depth ``min_lines`` equal names are the intervals whose common prefix is that
 long; all occurrences after the interval's first one (by doc_id, line) are later copies.  Overlapping
-copies add up to the maximal repeated runs.
+copies add up to the maximal repeated runs: every run of more lines consists of such copies, so deeper
+names would not change what is removed, and at 2 lines the distinct pairs of neighbours are enough.
+With ``long_line``, a single line of that many words or more is a run as well.  The first occurrence of
+a line is in no later copy, so unique text stays.
 
 Names are made from distinct pairs, counted before they are shuffled; rows meet them in a join whose
 hot keys adaptive execution splits.
@@ -44,18 +47,25 @@ def _named(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.join(names, list(keys)).select("rid", "tk", "i", "name", "first")
 
 
-def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
+def _n_words(line: Column) -> Column:
+    return F.size(F.filter(F.split(F.translate(line, BLANKS, " " * len(BLANKS)), " "), lambda w: w != ""))
+
+
+def later_copies(docs: DataFrame, min_lines: int, long_line: int = 0) -> DataFrame:
     """(rid, tk, i): starts, among non-blank lines, of runs of ``min_lines`` lines that occurred before.
 
-    ``docs`` has rid, text and tk, a hash of the text.
+    ``docs`` has rid, text and tk, a hash of the text.  With ``long_line``, runs with a shorter line (in words)
+    are left out.
     """
     lines = docs.where("text is not null").select("rid", "tk", F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
-    lines = lines.where(_is_filled(F.col("line"))).select("rid", "tk", "p", F.xxhash64("line").alias("a"))
+    lines = lines.where(_is_filled(F.col("line")))
+    is_long = (F.length("line") >= 2 * long_line - 1) & (_n_words(F.col("line")) >= long_line) if long_line else F.lit(True)
+    lines = lines.select("rid", "tk", "p", F.when(is_long, F.xxhash64("line")).alias("a"))
     near = Window.partitionBy("rid", "tk").orderBy("p")
     before = lines.withColumn("before", F.lag("p").over(near))  # rows of one document have each place once
     lines = before.where("before is null or before <> p").drop("before")
     rows = lines.select("rid", "tk", "a", (F.row_number().over(near) - 1).alias("i"), F.lead("a").over(near).alias("b"))
-    rows = _named(rows, "a") if min_lines == 1 else _named(rows.where("b is not null"), "a", "b")
+    rows = _named(rows.where("a is not null"), "a") if min_lines == 1 else _named(rows.where("a is not null and b is not null"), "a", "b")
     have = min(2, min_lines)
     near = Window.partitionBy("rid", "tk").orderBy("i")
     while have < min_lines:
@@ -66,23 +76,27 @@ def later_copies(docs: DataFrame, min_lines: int) -> DataFrame:
     return rows.where(F.struct("rid", "tk", "i") > F.col("first")).select("rid", "tk", "i").distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_lines: int = 2, long_line: int = 0) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any other columns) with later copies removed from text,
-    and n_lines, n_removed (null text: 0).
+    and n_lines, n_removed (null text: 0).  With ``long_line``, later copies of single lines of that many
+    words or more are removed, too.
     """
     if min_lines < 1:
         raise ValueError("min_lines must be 1 or more")
     keyed = docs.withColumns(
         {"_rid": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)), "_tk": F.xxhash64(F.col("text").cast("string"))}
     )
-    found = later_copies(keyed.select(F.col("_rid").alias("rid"), F.col("_tk").alias("tk"), F.col("text").cast("string").alias("text")), min_lines)
-    starts = found.groupBy(F.col("rid").alias("_rid"), F.col("tk").alias("_tk")).agg(F.collect_list("i").alias("_starts"))
+    texts = keyed.select(F.col("_rid").alias("rid"), F.col("_tk").alias("tk"), F.col("text").cast("string").alias("text"))
+    found = later_copies(texts, min_lines).withColumn("last", F.col("i") + (min_lines - 1))
+    if long_line and min_lines > 1:
+        found = found.unionByName(later_copies(texts, 1, long_line).withColumn("last", F.col("i")))
+    starts = found.groupBy(F.col("rid").alias("_rid"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("i", "last")).alias("_starts"))
     removed = F.col("_starts").isNotNull()
     whole = keyed.join(starts, ["_rid", "_tk"], "left")
     whole = _once(whole, "_lines", F.when(removed, F.split(F.col("text").cast("string"), "\n", -1)))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
     whole = _once(whole, "_filled", F.when(removed, F.filter(every, lambda i: _is_filled(F.get("_lines", i)))))
-    gone = F.flatten(F.transform("_starts", lambda s: F.transform(F.sequence(s, s + (min_lines - 1)), lambda j: F.get("_filled", j))))
+    gone = F.flatten(F.transform("_starts", lambda s: F.transform(F.sequence(s["i"], s["last"]), lambda j: F.get("_filled", j))))
     whole = _once(whole, "_kept", F.when(removed, F.array_except(every, gone)))
     n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
     return whole.select(

@@ -243,6 +243,17 @@ def test_line_dedup_takes_equal_rows_as_one_document(spark, m):
     same(found.collect(), expected)
 
 
+def test_long_single_lines_are_runs(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 12), ("b", 10), ("c", 9)))
+    rows = [(1, f"x\n{a}\ny"), (2, f"{a}\nz"), (3, f"u\n\n{b}\n{c}\n{b}"), (4, a), (5, f"v\n{c}\nx\n{a}"), (6, f"u\t\n{a} \nw"), (7, " ".join("short" * 20))]
+    rows += [(8, rows[6][1]), *[(9, f"p\n{b}\nq")] * 2, (None, f"{a} \n{c}"), (10, None)]
+    gone = {2: "z", 3: f"u\n\n{b}\n{c}", 5: f"v\n{c}", 9: "p\nq", None: c}
+    left = [(i, gone.get(i, t)) for i, t in rows if i not in (4, 8)]
+    same(corpus_pipeline.lines(spark, table(spark, rows), "").select("doc_id", "text").collect(), left)
+
+
 def test_packing_is_exact(spark):
     rows = corpus(7) + [(300, "<|endoftext|> A.b"), (301, "don't stop'S 12,x")]
     path = word_bpe_path()
