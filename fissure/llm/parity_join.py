@@ -320,10 +320,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links).
 
     Documents link when den * |intersection| >= num * |union| of their sets of ``words``-word shingles,
-    A-Z lower-cased.
+    A-Z lower-cased.  Sets meet those of their own size band and the next, so thresholds under 1 / ``BAND``,
+    where sets further apart can link, are refused.
     """
     if not 0 < num < den:
         raise ValueError("the threshold must lie between 0 and 1")
+    if num * BAND < den:
+        raise ValueError(f"the threshold must be {1 / BAND} or more")
     docs = C.documents(docs).select("rid", "text")
     n_buckets = C.buckets(C.text_bytes(docs), BUCKET_BYTES)
     sets = C.cut(docs.mapInArrow(_sets(words), "rid bigint, n bigint, s1 bigint, s2 bigint, fine binary"))

@@ -444,6 +444,13 @@ def test_chroma_search(spark):
     assert align_recordings(codes.limit(0), F.col("id") < 40).count() == 0
 
 
+def test_jaccard_refuses_thresholds_it_would_lose_links_at(spark):
+    for num in (50, 79):
+        with pytest.raises(ValueError):
+            jaccard_components(table(spark, [(1, "a b c")]), 1, num, 100)
+    jaccard_components(table(spark, [(1, "a b c")]), 1, 80, 100)
+
+
 def test_chroma_search_is_exact(spark):
     """Sequences of several lengths against brute force: most pairs share no integer at all."""
     from pyspark.sql import functions as F
