@@ -11,34 +11,35 @@ scale.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import ctypes
+import hashlib
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Arrays over 8 MB go back to the system when freed: a worker that lives on keeps no peak of an old task.
-if hasattr(ctypes.CDLL(None), "mallopt"):
-    ctypes.CDLL(None).mallopt(-3, 8 << 20)
-
 CHUNK_BYTES = 2 << 20
 BATCH_ROWS = 1000
-NULL_ID = (1 << 63) - 1
+NULL_ID = (1 << 63) - 1  # the order of a null doc_id; the id itself stays null
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 5)
 _MASK = (1 << 64) - 1
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local default only where none is set (tests)."""
+    """The shared folder of the cluster.  Where none is set, one machine has a folder of its own; a cluster must name one."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file:///tmp/checkpoints/fissure"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(where or "file:///tmp/checkpoints/fissure")
-    return where or "file:///tmp/checkpoints/fissure"
+        sc.setCheckpointDir(where)
+    return where
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -47,6 +48,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Deletes the files of a checkpoint that nothing will read again."""
+    jvm = df.sparkSession.sparkContext._jvm
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few_parts(df: DataFrame, n_rows: int, each: int = 20_000) -> DataFrame:
+    """Rows whose number is known to be at most ``n_rows``, in as many partitions as they need, without a shuffle.
+    Small tables then cost a few tasks at each step, not one for every shuffle partition."""
+    return df.coalesce(max(1, -(-n_rows // each)))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Documents are long: fewer of them cross to Python at a time than by Spark's default."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
@@ -54,7 +70,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text) of a documents table; rid stands in for a null doc_id and sorts last."""
+    """(rid, doc_id, text) of a documents table; rid gives the order, in which a null doc_id is the largest."""
     small_batches(docs.sparkSession)
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"),
@@ -63,9 +79,9 @@ def documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def doc_ids(rids: np.ndarray) -> pa.Array:
-    """The doc_id column behind rids."""
-    return pa.array(rids, pa.int64(), mask=rids == NULL_ID)
+def text_key() -> Column:
+    """32 bits of a hash of the text: tells rows that share an id apart."""
+    return F.shiftrightunsigned(F.xxhash64("text"), 32).alias("tk")
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -87,47 +103,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-
-
-class _Powers:
-    """Powers of BASE and of its inverse modulo 2**64, grown on demand and kept for the worker."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            inv = U64(pow(int(BASE), -1, 1 << 64))
-            self.up = np.multiply.accumulate(np.r_[U64(1), np.full(n - 1, BASE, U64)])
-            self.down = np.multiply.accumulate(np.r_[U64(1), np.full(n - 1, inv, U64)])
-        return self.up[:n], self.down[:n]
-
-
-POWERS = _Powers()
-
-
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash; any span's hash is ``span(p, i, j)``."""
-    up, _ = POWERS.get(len(values) + 1)
-    out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
-
-
-def span(p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    _, down = POWERS.get(len(p))
-    return mix((p[j] - p[i]) * down[i])
-
-
-def rolling(p: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all spans of k values, at every start."""
-    n = len(p) - k
+LONG_SPAN = 256
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans.  Eight bytes at a time pass a nonlinear step that keeps different ones
+    apart, so no arrangement of equal parts cancels out; spans over ``LONG_SPAN`` bytes go through blake2b."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, U64, padded, strides=(1,))  # the 8 bytes from each place on
+    size = np.asarray(ends - starts, np.int64)
+    h = mix(size.astype(U64) * BASE + U64(seed))
+    short = np.where(size <= LONG_SPAN, size, 0)
+    at = np.flatnonzero(short > 0)
+    done = 0
+    while len(at):
+        left = short[at] - done
+        part = eight[starts[at] + done]
+        part &= ~U64(0) >> ((8 - np.minimum(left, 8)) * 8).astype(U64)
+        h[at] = mix(h[at] ^ part)
+        done += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return h
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of what ``a`` stands for followed by what ``b`` stands for."""
+    return mix(a * BASE + b)
+
+
+def windows(values: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k values, at every start: runs of 1, 2, 4, ... values joined as k's bits ask."""
+    n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    _, down = POWERS.get(len(p))
-    return mix((p[k:] - p[:n]) * down[:n])
+    out, block, size, at = None, values, 1, 0
+    while k:
+        if k & 1:
+            part = block[at : at + n]
+            out = part if out is None else joined(out, part)
+            at += size
+        k >>= 1
+        if k:
+            block = joined(block[:-size], block[size:])
+            size *= 2
+    return out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -167,6 +190,9 @@ class Texts:
     def ids(self) -> np.ndarray:
         return self.column("rid").to_numpy(zero_copy_only=False).astype(np.int64)
 
+    def text_keys(self) -> np.ndarray:
+        return self.column("tk").to_numpy(zero_copy_only=False).astype(np.uint32)
+
     def runs(self, size: int) -> Iterator[tuple[int, int]]:
         """Bounds of runs of whole documents of about ``size`` bytes."""
         lo = 0
@@ -183,9 +209,9 @@ class Texts:
         """Start and end of each word in the bytes, and the first word of each document (n + 1)."""
         return word_spans(self.data, self.off)
 
-    def word_hashes(self, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def word_hashes(self, data: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, first = self.words()
-        return span(prefix(BYTE_CODE[self.data if data is None else data]), starts, ends), first
+        return span_hashes(self.data if data is None else data, starts, ends, seed), first
 
 
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,8 +235,20 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
+_TUNED: list[bool] = []
+
+
+def _tune() -> None:
+    """In a worker, arrays over 8 MB go back to the system when freed, so no peak of an old task is kept."""
+    if not _TUNED:
+        _TUNED.append(True)
+        if hasattr(ctypes.CDLL(None), "mallopt"):
+            ctypes.CDLL(None).mallopt(-3, 8 << 20)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[Texts]:
     """Runs of whole documents of about ``size`` bytes; a null text counts as empty."""
+    _tune()
     for batch in batches:
         col = batch.column(column)
         if col.null_count:

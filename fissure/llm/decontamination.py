@@ -49,7 +49,7 @@ def _hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of lower-cased words without signs, and each text's first."""
     plain = KEEP[data]
     starts, ends, first = C.word_spans(plain, off)
-    return C.span(C.prefix(C.BYTE_CODE[plain]), starts, ends), first
+    return C.span_hashes(plain, starts, ends), first
 
 
 def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +59,8 @@ def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _shingles(wh: np.ndarray) -> np.ndarray:
     if len(wh) < SHINGLE:
-        return C.span(C.prefix(wh), np.zeros(1, np.int64), np.full(1, len(wh)))
-    return C.rolling(C.prefix(wh), SHINGLE)
+        return C.windows(wh, len(wh))
+    return C.windows(wh, SHINGLE)
 
 
 def _answer_words(text: str, n_words: int) -> int:
@@ -210,11 +210,10 @@ class Index:
             return 1.0
         if len(words) < SHINGLE:
             return float(np.isin(part, _shingles(words)).mean())
-        held = C.rolling(C.prefix(words), SHINGLE)
+        held = C.windows(words, SHINGLE)
         found = np.isin(part, held)
         if len(part) == 1 and not found[0]:  # may be a part of fewer words
-            p = C.prefix(words)
-            found = np.array([any(part[0] in C.rolling(p, k) for k in range(1, SHINGLE))])
+            found = np.array([any(part[0] in C.windows(words, k) for k in range(1, SHINGLE))])
         return float(found.mean())
 
 

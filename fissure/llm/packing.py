@@ -40,22 +40,23 @@ SEPARATOR = "\x01"
 class WordTokenizer:
     """Ids of whole texts by a lower-casing tokenizer that drops white space and splits at signs.
 
-    Each distinct piece between such splits is encoded once and looked up by its hash.  A text that
+    Each distinct piece between such splits is encoded once and looked up by one hash; a second, independent one
+    must agree as well, else the chunk's documents are encoded whole.  A text that
     holds the string of a special token keeps its case and is cut at white space only.
     """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # of the worker that holds it: Spark runs one per core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         separator = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = separator[0] if len(separator) == 1 else None
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.starts, self.counts = np.zeros(0, C.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.checks, self.starts, self.counts = np.zeros(0, C.U64), np.zeros(0, C.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _encode_all(self, pieces: list[str], joined: bool) -> list[np.ndarray]:
@@ -70,7 +71,7 @@ class WordTokenizer:
             out += [ids[a + 1 : b] for a, b in zip([-1, *cut], cut)]
         return out
 
-    def _learn(self, keys: np.ndarray, pieces: list[str], joined: bool) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str], joined: bool) -> None:
         encoded = self._encode_all(pieces, joined)
         counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.concatenate(encoded)
@@ -80,6 +81,7 @@ class WordTokenizer:
         at = np.searchsorted(self.keys, keys)
         self.starts = np.insert(self.starts, at, self.used + np.cumsum(counts) - counts)
         self.counts = np.insert(self.counts, at, counts)
+        self.checks = np.insert(self.checks, at, checks)
         self.keys = np.insert(self.keys, at, keys)
         self.used += len(flat)
 
@@ -98,7 +100,7 @@ class WordTokenizer:
     def encode(self, t: C.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk, and where each document's begin (n + 1)."""
         data, starts, ends, first, joined = self._spans(t)
-        h = C.span(C.prefix(C.BYTE_CODE[data]), starts, ends)
+        h, check = C.span_hashes(data, starts, ends), C.span_hashes(data, starts, ends, 1)
         keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > max(CACHE_PIECES, len(keys)):
             self.clear()
@@ -108,26 +110,33 @@ class WordTokenizer:
             body = data.tobytes()
             pick = at[~known]
             pieces = [body[a:b].decode() for a, b in zip(starts[pick].tolist(), ends[pick].tolist())]
-            self._learn(keys[~known], pieces, joined and self.separator is not None)
+            self._learn(keys[~known], check[pick], pieces, joined and self.separator is not None)
             slot = np.searchsorted(self.keys, keys)
         slot = slot[inverse]
+        if not np.array_equal(self.checks[slot], check):
+            return self._whole(t)
         count = self.counts[slot]
         return self.ids[C.ragged(self.starts[slot], count)], np.r_[0, np.cumsum(count)][first]
 
+    def _whole(self, t: C.Texts) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.tokenizer.encode(t.text(i).decode(), add_special_tokens=False).ids for i in range(t.n)]
+        off = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int64)
+        return np.array([x for y in ids for x in y], np.uint32), off
+
 
 _LOADED: dict[str, WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(definition: str) -> WordTokenizer:
     """One per worker process: later tasks find what earlier ones learned."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+    if definition not in _LOADED:
+        _LOADED[definition] = WordTokenizer(definition)
+    return _LOADED[definition]
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(definition, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_tokenizer(path)
+        tokenizer = word_tokenizer(definition.value)
         end = np.array([end_id], np.uint32)
         for t in C.chunks(batches):
             ids, off = tokenizer.encode(t)
@@ -202,10 +211,12 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``tokenizer_path`` names a tokenizers file that lower-cases, drops white space and keeps letters,
-    digits and signs apart.
+    ``tokenizer_path`` names a tokenizers file, on the driver, that lower-cases, drops white space and keeps
+    letters, digits and signs apart; its contents (a few MB) are broadcast.
     """
-    pieces = C.cut(C.documents(docs).select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECE))
+    with open(tokenizer_path, encoding="utf-8") as f:
+        definition = docs.sparkSession.sparkContext.broadcast(f.read())
+    pieces = C.cut(C.documents(docs).select("doc_id", "text").mapInArrow(_pieces(definition, capacity, end_id), PIECE))
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / group_tokens))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))

@@ -41,22 +41,25 @@ PAIRS = 256  # pairs verified at a time
 OPEN_ROWS = 10_000  # entries of blocks with several groups that are compared in one task
 
 
+def _shingles(wh: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of a chunk, and each one's document; fewer words are one shingle."""
+    count = np.diff(first)
+    doc, h = [], []
+    for n in range(1, words + 1):
+        mine = np.flatnonzero(count >= words if n == words else count == n)
+        if len(mine):
+            each = count[mine] - n + 1
+            doc.append(np.repeat(mine, each))
+            hashes = C.windows(wh, n)[C.ragged(first[:-1][mine], each)]
+            h.append(hashes if n == words else C.mix(hashes + C.U64(n)))
+    if not h:
+        return np.zeros(0, C.U64), np.zeros(0, C.U64)
+    return np.concatenate(h), np.concatenate(doc).astype(C.U64)
+
+
 def shingle_sets(t: C.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, ascending within each document, and where each document's begin."""
-    wh, first = t.word_hashes(C.lowered(t.data))
-    count = np.diff(first)
-    p = C.prefix(wh)
-    long = np.flatnonzero(count >= words)
-    short = np.flatnonzero((count > 0) & (count < words))
-    n_long = count[long] - words + 1
-    at = C.ragged(first[:-1][long], n_long)
-    h = np.concatenate(
-        [
-            C.span(p, at, at + words),
-            C.mix(C.span(p, first[:-1][short], first[1:][short]) + count[short].astype(C.U64)),
-        ]
-    )
-    doc = np.concatenate([np.repeat(long, n_long), short]).astype(C.U64)
+    h, doc = _shingles(*t.word_hashes(C.lowered(t.data)), words)
     bits = max(1, int(t.n).bit_length())
     key = (doc << C.U64(64 - bits)) | (h >> C.U64(bits))
     order = np.argsort(key, kind="stable")
@@ -292,13 +295,19 @@ def _links(words: int, num: int, den: int):
 
 
 def _linked(t: C.Texts, words: int, num: int, den: int) -> np.ndarray:
-    """Whether texts 2i and 2i + 1 link."""
-    h, first = shingle_sets(t, words)
-    sizes = np.diff(first)
-    pair = np.repeat(np.arange(t.n) // 2, sizes)
-    order = np.lexsort((h, pair))
-    h, pair = h[order], pair[order]
-    same = (h[1:] == h[:-1]) & (pair[1:] == pair[:-1])
+    """Whether texts 2i and 2i + 1 link.  Shingles are equal where two independent 64-bit hashes are."""
+    low = C.lowered(t.data)
+    starts, ends, first = t.words()
+    (h, doc), (g, _) = (_shingles(C.span_hashes(low, starts, ends, seed), first, words) for seed in (0, 1))
+    order = np.lexsort((g, h, doc))
+    h, g, doc = h[order], g[order], doc[order].astype(np.int64)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+    h, g, doc = h[new], g[new], doc[new]
+    sizes = np.bincount(doc, minlength=t.n)
+    order = np.lexsort((g, h, doc // 2))
+    h, g, pair = h[order], g[order], doc[order] // 2
+    same = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (pair[1:] == pair[:-1])
     common = np.bincount(pair[1:][same], minlength=t.n // 2)
     total = sizes[0::2] + sizes[1::2] - common
     return (total > 0) & (den * common >= num * total)

@@ -4,14 +4,14 @@
    windows of ``block`` words of every document, at each start.  Both meet by hash slice in a packed
    exchange; a probe hits where a document with a smaller id holds the block.  As
    ``2 * block <= min_words + 1``, a shared window of ``min_words`` words holds at least one block.
-2. *Extend*: the windows of ``min_words`` words around a hit go, as 64-bit keys, to the bucket of
-   their smallest block hash.  Equal windows therefore meet, neighbours travel together, and runs of
+2. *Extend*: the windows of ``min_words`` words around a hit go, as two independent 64-bit keys, to the
+   bucket of their smallest block hash.  Windows are equal where both keys are.  Equal windows therefore meet, neighbours travel together, and runs of
    matching windows are the maximal exact repeats.  A group of equal windows costs its own length:
    only the smallest id is kept for comparison, so no pairs of documents are formed.
 3. The runs return to their documents, which are rewritten.
 
-Defined cases: null or empty text has no words; a null doc_id counts as the largest id; rows that
-share an id are never each other's duplicates; other columns are ignored; an empty table gives an
+Defined cases: null or empty text has no words; a null doc_id counts as the largest possible id, and
+stays null; rows that share an id are never each other's duplicates; other columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -31,11 +31,6 @@ BUCKET_BYTES = 8 << 20
 SPAN = "array<struct<tk: bigint, start: int, n: int>>"
 
 
-def _content_keys(wh: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each document's words: tells rows that share an id apart."""
-    return (C.span(C.prefix(wh), first[:-1], first[1:]) >> C.U64(32)).astype(np.uint32)
-
-
 def _anchors(block: int, min_words: int, n_buckets: int):
     def entries(batches: Iterator[pa.RecordBatch]):
         for t in C.chunks(batches):
@@ -43,7 +38,7 @@ def _anchors(block: int, min_words: int, n_buckets: int):
             count = np.diff(first)
             probes = np.where(count >= min_words, count - block + 1, 0)
             at = C.ragged(first[:-1], probes)  # starts of probes
-            h = C.rolling(C.prefix(wh), block)[at] if len(at) else np.zeros(0, C.U64)
+            h = C.windows(wh, block)[at] if len(at) else np.zeros(0, C.U64)
             yield t, {
                 "ids": t.ids(),
                 "doc": np.repeat(np.arange(t.n), probes),
@@ -86,7 +81,8 @@ def _hits(block: int):
 def _windows(block: int, min_words: int, n_buckets: int):
     def entries(batches: Iterator[pa.RecordBatch]):
         for t in C.chunks(batches):
-            wh, first = t.word_hashes()
+            starts, ends, first = t.words()
+            wh, check = (C.span_hashes(t.data, starts, ends, seed) for seed in (0, 1))
             count = np.diff(first)
             hits = t.column("pos")
             per = np.asarray(pa.compute.list_value_length(hits).fill_null(0))
@@ -98,38 +94,39 @@ def _windows(block: int, min_words: int, n_buckets: int):
             hi = np.minimum(pos, count[doc] - min_words)
             at = np.flatnonzero(C.covered(len(wh), first[doc] + lo, np.maximum(hi - lo + 1, 0)))
             doc = np.searchsorted(first, at, "right") - 1
-            p = C.prefix(wh)
             none = np.zeros(0, C.U64)
-            home = C.sliding_min(C.rolling(p, block), min_words - block + 1)[at] if len(at) else none
+            home = C.sliding_min(C.windows(wh, block), min_words - block + 1)[at] if len(at) else none
             yield t, {
                 "ids": t.ids(),
-                "doc_tk": _content_keys(wh, first),
+                "doc_tk": t.text_keys(),
                 "doc": doc,
                 "pos": at - first[doc],
-                "h": C.rolling(p, min_words)[at] if len(at) else none,
+                "h": C.windows(wh, min_words)[at] if len(at) else none,
+                "g": C.windows(check, min_words)[at] if len(at) else none,
                 "bucket": (C.mix(home + C.U64(1)) % C.U64(n_buckets)).astype(np.int64),
             }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e in C.gathered(entries(batches)):
             order, cut, row = C.packed(e, n_buckets)
-            yield pa.RecordBatch.from_pydict(row | {"h": C.slices(e["h"][order], cut)})
+            yield pa.RecordBatch.from_pydict(row | {k: C.slices(e[k][order], cut) for k in ("h", "g")})
 
     return run
 
 
 def _runs(table: pa.Table) -> pa.Table:
     """Windows that a smaller id holds, as runs within documents."""
-    hs, ds, ps, ts, rows = [], [], [], [], []
+    hs, gs, ds, ps, ts, rows = [], [], [], [], [], []
     for i, (row, ids, doc, pos) in enumerate(C.unpacked(table)):
         hs.append(np.frombuffer(row["h"], C.U64))
+        gs.append(np.frombuffer(row["g"], C.U64))
         ds.append(ids[doc])
         ts.append(np.frombuffer(row["tk"], np.uint32).astype(np.int64)[doc])
         ps.append(pos)
         rows.append((i << 32) + doc)
-    h, d, p, t, r = map(np.concatenate, (hs, ds, ps, ts, rows))
-    order = np.argsort(h, kind="stable")
-    head = C.group_bounds(h[order])
+    h, g, d, p, t, r = map(np.concatenate, (hs, gs, ds, ps, ts, rows))
+    order = np.lexsort((g, h))
+    head = np.union1d(C.group_bounds(h[order]), C.group_bounds(g[order]))
     least = np.empty(len(h), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(d[order], head), np.diff(np.r_[head, len(h)]))
     out = np.flatnonzero(d > least)
@@ -150,25 +147,27 @@ def _runs(table: pa.Table) -> pa.Table:
 def _rewrite(min_words: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in C.chunks(batches):
-            wh, first = t.word_hashes()
-            tk = _content_keys(wh, first)
-            spans = t.column("spans").to_pylist()
-            removed, kept = [], []
-            for i in range(t.n):
-                words = t.text(i).split()
-                mine = [(s["start"], s["n"]) for s in spans[i] or () if s["tk"] == tk[i]]
-                if mine:
-                    at = np.array(mine, np.int64)
-                    gone = C.covered(len(words), at[:, 0], at[:, 1] + min_words - 1)
-                    words = [words[j] for j in np.flatnonzero(~gone)]
-                    removed.append(int(gone.sum()))
-                else:
-                    removed.append(0)
-                kept.append(b" ".join(words))
+            starts, ends, first = t.words()
+            spans = t.column("spans")
+            per = np.asarray(pa.compute.list_value_length(spans).fill_null(0))
+            flat = spans.flatten()
+            doc = np.repeat(np.arange(t.n), per)
+            mine = np.asarray(flat.field("tk")) == t.text_keys()[doc] if len(doc) else np.zeros(0, bool)
+            at = first[doc[mine]] + np.asarray(flat.field("start"))[mine]
+            stay = ~C.covered(len(starts), at, np.asarray(flat.field("n"))[mine].astype(np.int64) + min_words - 1)
+            left = np.r_[0, np.cumsum(stay)][first]
+            # Kept words side by side, a space before each; a document's first one is left out below.
+            size = (ends - starts)[stay] + 1
+            body = np.full(int(size.sum()), 32, np.uint8)
+            to = np.cumsum(size) - size
+            body[C.ragged(to + 1, size - 1)] = t.data[C.ragged(starts[stay], size - 1)]
+            body = body.tobytes()
+            edge = np.r_[to, len(body)][left].tolist()
+            kept = [body[a + 1 : b] for a, b in zip(edge, edge[1:])]
             out = {
-                "doc_id": C.doc_ids(t.ids()),
+                "doc_id": t.column("doc_id"),
                 "n_words": pa.array(np.diff(first), pa.int64()),
-                "n_removed": pa.array(removed, pa.int64()),
+                "n_removed": pa.array(np.diff(first) - np.diff(left), pa.int64()),
                 "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
             }
             if keep_text:
@@ -187,11 +186,12 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, block: int | None = No
     block = block or (min_words + 1) // 2
     if not 1 <= block <= (min_words + 1) // 2:
         raise ValueError("block must be between 1 and (min_words + 1) // 2")
-    docs = C.documents(docs).select("rid", "text")  # the same columns in both joins: one exchange serves both
+    docs = C.documents(docs)  # the same columns in both joins: one exchange serves both
     n = C.buckets(C.text_bytes(docs), BUCKET_BYTES)
     packed = C.PACKED + ", h binary"
     hits = (
-        docs.mapInArrow(_anchors(block, min_words, n), packed)
+        docs.select("rid", "text")
+        .mapInArrow(_anchors(block, min_words, n), packed)
         .groupBy("bucket")
         .applyInArrow(_hits(block), "rid bigint, pos int")
         .groupBy("rid")
@@ -199,13 +199,13 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, block: int | None = No
     )
     runs = (
         docs.join(hits, "rid")
-        .select("rid", "text", "pos")
-        .mapInArrow(_windows(block, min_words, n), C.PACKED + ", tk binary, h binary")
+        .select("rid", "text", C.text_key(), "pos")
+        .mapInArrow(_windows(block, min_words, n), C.PACKED + ", tk binary, h binary, g binary")
         .groupBy("bucket")
         .applyInArrow(_runs, "rid bigint, tk bigint, start int, n int")
         .groupBy("rid")
         .agg(F.collect_list(F.struct("tk", "start", "n")).alias("spans"))
     )
     out = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    whole = docs.join(runs, "rid", "left").select("rid", "text", "spans")
+    whole = docs.join(runs, "rid", "left").select("doc_id", "text", C.text_key(), "spans")
     return whole.mapInArrow(_rewrite(min_words, keep_text), out)

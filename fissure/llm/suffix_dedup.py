@@ -144,6 +144,38 @@ def repeated_windows(segments: list[bytes], counts: np.ndarray, stop: int) -> li
     return [again[b : b + max(0, s - stop + 1)] for b, s in zip(begin.tolist(), sizes.tolist())]
 
 
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, grown on demand and kept for the worker."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, C.U64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            more = max(n, 1 << 16) - 1
+            inv = C.U64(pow(int(C.BASE), -1, 1 << 64))
+            self.up = np.multiply.accumulate(np.r_[C.U64(1), np.full(more, C.BASE, C.U64)])
+            self.down = np.multiply.accumulate(np.r_[C.U64(1), np.full(more, inv, C.U64)])
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+_BYTE_CODE = C.mix(np.arange(1, 257, dtype=C.U64) * C.U64(0x9E3779B97F4A7C15))
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A rolling hash of the ``GRAM`` bytes at each place.  It only chooses anchors: grams that hash alike by
+    chance or by design make segments longer or meet for nothing, and what repeats is decided by the bytes."""
+    n = len(data) - GRAM + 1
+    up, down = _POWERS.get(len(data) + 1)
+    p = np.zeros(len(data) + 1, C.U64)
+    np.cumsum(_BYTE_CODE[data] * up[:-1], out=p[1:])
+    h = (p[GRAM:] - p[:n]) * down[:n]
+    h ^= h >> C.U64(32)
+    h *= C.U64(0xD6E8FEB86659FD93)
+    return h
+
+
 def _segments(t: C.Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor value: start, windows, value, whether the value is there twice."""
     parts = [_few_segments(t.data[t.off[a] : t.off[b]], t.off[a : b + 1] - t.off[a], size, t.off[a]) for a, b in t.runs(FEW_BYTES)]
@@ -157,12 +189,7 @@ def _few_segments(data: np.ndarray, off: np.ndarray, size: int, base: int) -> tu
     none = np.zeros(0, np.int64)
     if not len(doc):
         return none, none, none.astype(C.U64), none.astype(bool)
-    p = C.prefix(C.BYTE_CODE[data])
-    _, down = C.POWERS.get(len(p))
-    n = len(p) - GRAM
-    h = (p[GRAM:] - p[:n]) * down[:n]
-    h ^= h >> C.U64(32)
-    h *= C.U64(0xD6E8FEB86659FD93)
+    h = gram_hashes(data)
     least = C.sliding_min(h, size - GRAM + 1)
     at = C.ragged(off[doc], n_windows)
     value = least[at]
@@ -221,11 +248,6 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"rid": pa.array(d[out], pa.int64()), "pos": pa.array(p[out], pa.int32())})
 
 
-def _text_keys(t: C.Texts) -> np.ndarray:
-    """A hash of each text: tells rows that share an id apart."""
-    return (C.span(C.prefix(C.BYTE_CODE[t.data]), t.off[:-1], t.off[1:]) >> C.U64(32)).astype(np.uint32)
-
-
 def _bodies(size: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in C.chunks(batches):
@@ -237,11 +259,10 @@ def _bodies(size: int, n_buckets: int):
             start, wins, value = start[mine], wins[mine], value[mine]
             if not len(start):
                 continue
-            e = _entries(t, start, value, n_buckets) | {"doc_tk": _text_keys(t)}
+            e = _entries(t, start, value, n_buckets) | {"doc_tk": t.text_keys()}
             order, cut, row = C.packed(e, n_buckets)
             sizes = (wins + size - 1)[order]
             body = t.data[C.ragged(start[order], sizes)]
-            row["h"] = C.slices(value[order], cut)
             row["sizes"] = pa.array([C.planes(sizes[a:b].astype(np.uint32)) for a, b in zip(cut, cut[1:])], pa.binary())
             row["body"] = C.slices(body, np.r_[0, np.cumsum(sizes)][cut])
             yield pa.RecordBatch.from_pydict(row)
@@ -249,44 +270,21 @@ def _bodies(size: int, n_buckets: int):
     return run
 
 
-def _again(segments: list[bytes], values: np.ndarray, counts: np.ndarray, size: int) -> list[np.ndarray]:
-    """Repeated windows of each segment.  All windows of a segment that occurs twice repeat; it is
-    needed for comparison only where its anchor value has other segments as well."""
-    order = np.argsort(values, kind="stable")
-    head = C.group_bounds(values[order])
-    alone = np.zeros(len(values), bool)
-    alone[order] = np.repeat(np.diff(np.r_[head, len(values)]) == 1, np.diff(np.r_[head, len(values)]))
-    plain = alone & (counts > 1)
-    rest = np.flatnonzero(~plain)
-    out = [np.ones(len(s) - size + 1, bool) for s in segments]
-    if len(rest):
-        for i, flags in zip(rest.tolist(), repeated_windows([segments[i] for i in rest], counts[rest], size)):
-            out[i] = flags
-    return out
-
-
 def _matches(size: int):
     def run(table: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
-        values, seg, ds, ps, ts = [], [], [], [], []
+        seg, ds, ps, ts = [], [], [], []
         for row, ids, doc, pos in C.unpacked(table):
-            h = np.frombuffer(row["h"], C.U64)
             edge = np.r_[0, np.cumsum(C.unplanes(row["sizes"], np.uint32).astype(np.int64))].tolist()
             body = row["body"]
-            for k, (a, b) in enumerate(zip(edge, edge[1:])):
-                s = index.setdefault(body[a:b], len(values))
-                if s == len(values):
-                    values.append(h[k])
-                seg.append(s)
+            seg += [index.setdefault(body[a:b], len(index)) for a, b in zip(edge, edge[1:])]
             ds.append(ids[doc])
             ts.append(np.frombuffer(row["tk"], np.uint32).astype(np.int64)[doc])
             ps.append(pos)
         seg = np.array(seg, np.int64)
         d, p, t = map(np.concatenate, (ds, ps, ts))
-        counts = np.bincount(seg, minlength=len(values))
-        segments = list(index)
-        again = _again(segments, np.array(values, C.U64), counts, size)
-        runs = [_runs(x) for x in again]
+        counts = np.bincount(seg, minlength=len(index))
+        runs = [_runs(x) for x in repeated_windows(list(index), counts, size)]
         n_runs = np.array([len(a) for a, _ in runs], np.int64)
         base = np.cumsum(n_runs) - n_runs
         starts, lengths = (np.concatenate([r[i] for r in runs]) for i in (0, 1))
@@ -318,7 +316,7 @@ def _rewrite(size: int, keep_text: bool):
             per = np.asarray(pa.compute.list_value_length(spans).fill_null(0))
             flat = spans.flatten()
             doc = np.repeat(np.arange(t.n), per)
-            mine = np.asarray(flat.field("tk")) == _text_keys(t)[doc] if len(doc) else np.zeros(0, bool)
+            mine = np.asarray(flat.field("tk")) == t.text_keys()[doc] if len(doc) else np.zeros(0, bool)
             doc = doc[mine]
             start = np.asarray(flat.field("start"))[mine].astype(np.int64) + t.off[doc]
             gone = C.covered(len(t.data), start, np.asarray(flat.field("n"))[mine].astype(np.int64) + size - 1)
@@ -332,7 +330,7 @@ def _rewrite(size: int, keep_text: bool):
             edge = t.off - lost[t.off]
             bodies = [kept[a:b] for a, b in zip(edge.tolist(), edge[1:].tolist())]
             out = {
-                "doc_id": C.doc_ids(t.ids()),
+                "doc_id": t.column("doc_id"),
                 "n_bytes": pa.array(np.diff(t.off), pa.int64()),
                 "n_removed": pa.array(np.diff(lost[t.off]), pa.int64()),
                 "n_spans": pa.array(np.diff(spans_to[t.off]), pa.int64()),
@@ -353,10 +351,11 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 200, keep_text: bool = True)
     """
     if min_bytes < GRAM:
         raise ValueError(f"min_bytes must be {GRAM} or more")
-    docs = C.documents(docs).select("rid", "text")  # the same columns in both joins: one exchange serves both
+    docs = C.documents(docs)  # the same columns in both joins: one exchange serves both
     n = C.buckets(C.text_bytes(docs), BUCKET_BYTES)
     hits = (
-        docs.mapInArrow(_anchors(min_bytes, n), C.PACKED + ", h binary, twice binary")
+        docs.select("rid", "text")
+        .mapInArrow(_anchors(min_bytes, n), C.PACKED + ", h binary, twice binary")
         .groupBy("bucket")
         .applyInArrow(_repeated, "rid bigint, pos int")
         .groupBy("rid")
@@ -364,13 +363,13 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 200, keep_text: bool = True)
     )
     runs = (
         docs.join(hits, "rid")
-        .select("rid", "text", "pos")
-        .mapInArrow(_bodies(min_bytes, n), C.PACKED + ", tk binary, h binary, sizes binary, body binary")
+        .select("rid", "text", C.text_key(), "pos")
+        .mapInArrow(_bodies(min_bytes, n), C.PACKED + ", tk binary, sizes binary, body binary")
         .groupBy("bucket")
         .applyInArrow(_matches(min_bytes), "rid bigint, tk bigint, start int, n int")
         .groupBy("rid")
         .agg(F.collect_list(F.struct("tk", "start", "n")).alias("spans"))
     )
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_bytes binary" * keep_text
-    whole = docs.join(runs, "rid", "left").select("rid", "text", "spans")
+    whole = docs.join(runs, "rid", "left").select("doc_id", "text", C.text_key(), "spans")
     return whole.mapInArrow(_rewrite(min_bytes, keep_text), out)

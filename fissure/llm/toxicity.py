@@ -51,12 +51,11 @@ def terms(t: C.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and word beginnings in a chunk, with each one's document, in text order."""
     data = _letters(t.data)
     starts, ends, first = C.word_spans(data, t.off)
-    p = C.prefix(C.BYTE_CODE[data])
     doc = np.repeat(np.arange(t.n), np.diff(first))
-    hs, ds = [C.span(p, starts, ends)], [doc]
+    hs, ds = [C.span_hashes(data, starts, ends)], [doc]
     for k in BEGINNINGS:
         long = ends - starts >= k
-        hs.append(C.mix(C.span(p, starts[long], starts[long] + k) + C.U64(k)))
+        hs.append(C.span_hashes(data, starts[long], starts[long] + k, k))
         ds.append(doc[long])
     return np.concatenate(hs), np.concatenate(ds)
 
@@ -160,11 +159,10 @@ def _found(t: C.Texts, known: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray
     doc = np.repeat(np.arange(t.n), np.diff(first))
     if not len(known) or not len(doc):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(t.n, np.int64)
-    p = C.prefix(C.BYTE_CODE[data])
     best, best_odds = np.zeros(len(starts), np.int64), np.full(len(starts), -np.inf)
     for k in (*BEGINNINGS, 0):
         at = np.flatnonzero(ends - starts >= k) if k else np.arange(len(starts))
-        h = C.mix(C.span(p, starts[at], starts[at] + k) + C.U64(k)) if k else C.span(p, starts, ends)
+        h = C.span_hashes(data, starts[at], starts[at] + k, k) if k else C.span_hashes(data, starts, ends)
         i = np.minimum(np.searchsorted(known.hashes, h), len(known) - 1)
         better = (known.hashes[i] == h) & (known.odds[i] > best_odds[at])
         best[at[better]], best_odds[at[better]] = i[better], known.odds[i[better]]

@@ -193,6 +193,62 @@ def test_sketches_bound_the_difference():
     assert len(close_pairs(ids, sizes, ids.copy(), fine, 90, 100, False)[0]) == 6
 
 
+def thue_morse(a, b, n=10):
+    """Two words that every polynomial hash modulo a power of two takes for one."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_no_texts_are_alike_by_construction(spark):
+    rng = random.Random(14)
+    for a, b in (("a", "b"), ("0", "1"), ("ab", "cd"), ("abcdefgh", "hgfedcba")):
+        x, y = thue_morse(a, b)
+        data = np.frombuffer((x + y).encode(), np.uint8)
+        for lo, hi in ((0, 256), (0, 64), (0, len(x))):
+            spans = np.array([lo, len(x) + lo]), np.array([hi, len(x) + hi])
+            assert len(set(C.span_hashes(data, *spans).tolist())) == 2
+    u, v = (np.array([{"a": 5, "b": 9}[c] for c in w], C.U64) for w in thue_morse("a", "b"))
+    assert all(C.windows(u, k)[0] != C.windows(v, k)[0] for k in (2, 3, 50, 64, 1024))
+    assert C.windows(u, 50).tolist() == [C.windows(u[i : i + 50], 50)[0] for i in range(len(u) - 49)]
+    x, y = thue_morse("x", "y")
+    rest = words(rng, 49)
+    rows = [(1, " ".join([x, *rest])), (2, " ".join([y, *rest]))]
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup(table(spark, rows)).collect()} == {1: 0, 2: 0}
+    many = [(1, " ".join([x] * 3 + rest[:3])), (2, " ".join([y] * 3 + rest[5:8]))]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_components(table(spark, many), 3, 90, 100).collect()} == {1: 1, 2: 2}
+    path = word_bpe_path()
+    t = WordTokenizer(open(path, encoding="utf-8").read()).tokenizer
+    for r in pack_documents(table(spark, [(1, x), (2, y)]), path).collect():
+        ids = t.encode({1: x, 2: y}[r["doc_id"]], add_special_tokens=False).ids + [1]
+        assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def test_a_wrong_piece_is_never_served():
+    import pyarrow as pa
+
+    w = WordTokenizer(open(word_bpe_path(), encoding="utf-8").read())
+    for text in ("some words here", "and more words"):
+        for t in C.chunks([pa.RecordBatch.from_pydict({"text": pa.array([text])})]):
+            w.checks = w.checks ^ C.U64(1)  # as if other pieces had come first with these hashes
+            ids, _ = w.encode(t)
+            assert ids.tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_the_largest_id_stays(spark):
+    top = (1 << 63) - 1
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(top, text), (4, text + " and so on"), (None, text), (top - 1, None)]
+    ids = sorted((i for i, _ in rows), key=repr)
+    for found in (substring_dedup(table(spark, rows)), suffix_dedup(table(spark, rows)), jaccard_components(table(spark, rows))):
+        assert sorted((r["doc_id"] for r in found.collect()), key=repr) == ids
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup(table(spark, rows)).collect()}
+    assert removed == {top: 60, 4: 0, None: 60, top - 1: 0}
+    alone = jaccard_components(table(spark, rows[:1] + rows[2:3])).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in alone} == {(top, top), (None, None)}
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(50, 90)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(20)] + [(7, 7)]
@@ -258,7 +314,7 @@ def test_packing_is_exact(spark):
     rows = corpus(7) + [(300, "<|endoftext|> A.b"), (301, "don't stop'S 12,x")]
     path = word_bpe_path()
     found = pack_documents(table(spark, rows), path, capacity=64, group_tokens=5000).collect()
-    t = WordTokenizer(path).tokenizer
+    t = WordTokenizer(open(path, encoding="utf-8").read()).tokenizer
     expected = []
     for i, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [1]
@@ -288,7 +344,7 @@ def test_best_fit_is_bounded():
 def test_tokenizer_pieces_equal_whole_texts():
     import pyarrow as pa
 
-    w = WordTokenizer(word_bpe_path())
+    w = WordTokenizer(open(word_bpe_path(), encoding="utf-8").read())
     rng = random.Random(8)
     signs = [*"abcXYZ 019'.,-<>|\n\t", "é", "É", "İ", "́", "̸", "=", "<|endoftext|>", "'s", "'LL", "—", "\x01", "\x0b", "漢", "😀", " ", "K"]
     for r in range(60):
