@@ -17,7 +17,8 @@ group is expanded into all its pairs.
 
 Defined cases: a null or empty text has no shingles, links with nothing and is its own component; fewer words than a shingle
 has are one shingle; rows that share a doc_id are one document with several texts; null doc_ids are
-one document as well, the largest; other columns are ignored; an empty table gives an empty result.
+one document as well, the largest (as is 2**63 - 1, if there is such an id); ids stay as they are; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ from fissure.llm.components import components
 BUCKET_BYTES = 6 << 20
 BAND = 1.25
 BROADCAST_IDS = 250_000  # 2 MB
+HOT_ROWS = 1000  # rows with one set from which on its least id is broadcast
 PAIRS = 256  # pairs verified at a time
+PAIRS_A_TASK = 1000
 OPEN_ROWS = 10_000  # entries of blocks with several groups that are compared in one task
 
 
@@ -134,17 +137,29 @@ def _sets(words: int):
             a, b = _set_keys(h, first)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "rid": pa.array(t.ids(), pa.int64()),
+                    "rid": t.column("rid"),
+                    "doc_id": t.column("doc_id"),
                     "n": pa.array(np.diff(first), pa.int64()),
                     "s1": pa.array(a),
                     "s2": pa.array(b),
-                    "fine": pa.array([fine_sketch(h[x:y]) for x, y in zip(first, first[1:])], pa.binary()),
                 }
             )
 
     return run
 
 
+def _fines(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in C.chunks(batches):
+            h, first = shingle_sets(t, words)
+            fine = [fine_sketch(h[x:y]) for x, y in zip(first, first[1:])]
+            yield pa.RecordBatch.from_pydict(
+                {"rid": t.column("rid"), "n": pa.array(np.diff(first), pa.int64()), "fine": pa.array(fine, pa.binary())}
+            )
+
+    return run
+
+
 def _blocks(words: int, num: int, den: int, n_buckets: int):
     def entries(batches: Iterator[pa.RecordBatch]):
         bands = Bands(num, den)
@@ -252,16 +267,17 @@ def close_pairs(ids: np.ndarray, sizes: np.ndarray, label: np.ndarray, fine: np.
 
 
 def _across(num: int, den: int, forest: bool):
-    def run(table: pa.Table) -> pa.Table:
-        key = table.column("key").to_numpy()
+    def run(entries: pa.Table, sketches: pa.Table) -> pa.Table:
+        fine = {(r, n): f for r, n, f in zip(*(sketches.column(c).to_pylist() for c in ("id", "size", "fine")))}
+        key = entries.column("key").to_numpy()
         order = np.argsort(key, kind="stable")
         head = np.r_[C.group_bounds(key[order]), len(key)]
-        ids, sizes, label = (table.column(c).to_numpy() for c in ("rid", "n", "label"))
-        fine = table.column("fine").to_pylist()
+        ids, sizes, label = (entries.column(c).to_numpy() for c in ("rid", "n", "label"))
         out: set[tuple[int, int]] = set()
         for lo, hi in zip(head, head[1:]):
             at = order[lo:hi]
-            a, b = close_pairs(ids[at], sizes[at], label[at], _folded([fine[i] for i in at]), num, den, forest)
+            held = [fine[r, n] for r, n in zip(ids[at].tolist(), sizes[at].tolist())]
+            a, b = close_pairs(ids[at], sizes[at], label[at], _folded(held), num, den, forest)
             out.update(zip(b, a))
         pairs = sorted(out)
         return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
@@ -313,16 +329,39 @@ def _linked(t: C.Texts, words: int, num: int, den: int) -> np.ndarray:
     return (total > 0) & (den * common >= num * total)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link.  Texts are first cut down to those of the pairs, by a broadcast if their
-    ids are few; then each join moves a text once per pair, and hot centres are split by AQE."""
-    pairs = C.cut(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(ids) if few else ids, "rid", "left_semi")
+def _of_ids(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
+    """The rows of some ids, by a broadcast if these are few."""
+    return docs.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "rid", "left_semi")
+
+
+def _verify(pairs: DataFrame, n_pairs: int, docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b), a checkpoint, that link, and their number.  Texts are first cut down to those of the
+    pairs; then each join moves a text once per pair, and hot centres are split by AQE."""
+    ids = C.cut(C.few_parts(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), 2 * n_pairs))
+    texts = _of_ids(docs, ids, ids.count()).mapInArrow(_squeeze, "rid bigint, z binary")
     a = texts.select(F.col("rid").alias("a"), F.col("z").alias("za"))
     b = texts.select(F.col("rid").alias("b"), F.col("z").alias("zb"))
-    return C.cut(pairs.join(a, "a").join(b, "b").select("a", "b", "za", "zb").mapInArrow(_links(words, num, den), "a bigint, b bigint"))
+    both = C.few_parts(C.few_parts(pairs.join(a, "a"), n_pairs, PAIRS_A_TASK).join(b, "b"), n_pairs, PAIRS_A_TASK)
+    links = C.cut(both.select("a", "b", "za", "zb").mapInArrow(_links(words, num, den), "a bigint, b bigint"))
+    C.drop_cut(ids)
+    return links, links.count()
+
+
+def _least_of_equal_sets(sets: DataFrame) -> DataFrame:
+    """(rid, doc_id, n, rep): rep is the least id with an equal set, null for an empty one.
+
+    Sets that very many rows have get theirs by a broadcast of at most ``BROADCAST_IDS`` of them.
+    """
+    n_docs = sets.count()
+    found = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rep"), F.count("*").alias("m"))
+    reps = C.cut(C.few_parts(found, n_docs))
+    hot = reps.where(F.col("m") > max(HOT_ROWS, n_docs // BROADCAST_IDS)).drop("m")
+    keyed = sets.join(F.broadcast(hot.withColumnRenamed("rep", "hot")), ["s1", "s2"], "left")
+    rest = C.few_parts(keyed.where("hot is null").drop("hot").join(reps.drop("m"), ["s1", "s2"], "left"), n_docs)
+    columns = ("rid", "doc_id", "n", "rep")
+    rows = C.cut(rest.select(*columns).unionAll(keyed.where("hot is not null").withColumnRenamed("hot", "rep").select(*columns)))
+    C.drop_cut(reps)
+    return rows
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -336,57 +375,69 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         raise ValueError("the threshold must lie between 0 and 1")
     if num * BAND < den:
         raise ValueError(f"the threshold must be {1 / BAND} or more")
-    docs = C.documents(docs).select("rid", "text")
+    docs = C.documents(docs)
     n_buckets = C.buckets(C.text_bytes(docs), BUCKET_BYTES)
-    sets = C.cut(docs.mapInArrow(_sets(words), "rid bigint, n bigint, s1 bigint, s2 bigint, fine binary"))
-    reps = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rep"))
-    rows = C.cut(sets.drop("fine").join(reps, ["s1", "s2"], "left").select("rid", "n", "rep"))
-    nodes = rows.where("rep = rid").select("rid", "n").distinct()
+    sets = C.cut(docs.mapInArrow(_sets(words), "rid bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint"))
+    rows = _least_of_equal_sets(sets)
+    C.drop_cut(sets)
+    docs = docs.select("rid", "text")
+    n_rows = rows.count()
+    nodes = C.few_parts(rows.where("rep = rid").select("rid", "n").distinct(), n_rows)
 
     shared = docs.mapInArrow(_blocks(words, num, den, n_buckets), C.PACKED + ", h binary")
     shared = shared.groupBy("bucket").applyInArrow(_shared, "key bigint, rid bigint, center bigint")
     # Many rows, so a compressed cache and no checkpoint: what a lost executor held is made again.
-    members = shared.join(nodes, "rid").select("rid", "key", "center", "n").persist(StorageLevel.DISK_ONLY)
-    texts = docs.mapInArrow(_squeeze, "rid bigint, z binary")
-
-    firsts = members.where("rid <> center").groupBy(F.col("rid").alias("a")).agg(F.min("center").alias("b"))
-    split = rows.where("rep is not null").groupBy("rid").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b")
-    links = _verify(firsts, texts, words, num, den).unionAll(_all_reps(rows, split))
-    final = components(links)
+    cached = shared.join(nodes, "rid").select("rid", "key", "center", "n").persist(StorageLevel.DISK_ONLY)
+    n_members = cached.count()
+    members = C.few_parts(cached, n_members)
+
+    firsts = C.few_parts(members.where("rid <> center").groupBy(F.col("rid").alias("a")).agg(F.min("center").alias("b")), n_members)
+    firsts = C.cut(firsts)
+    links, n_links = _verify(firsts, firsts.count(), docs, words, num, den)
+    C.drop_cut(firsts)
+    several = C.few_parts(rows.where("rep is not null").groupBy("rid").agg(F.min("rep").alias("b"), F.max("rep").alias("a")), n_rows)
+    several = C.cut(several.where("a <> b"))  # ids whose rows have different sets: one document all the same
+    if n_several := several.count():
+        own = rows.join(several.select("rid", "b"), "rid").select(F.col("rep").alias("a"), "b").where("a <> b")
+        links, n_links = links.unionAll(C.cut(own)), n_links + n_several
+    final = components(links, n_links)
     for forest in (True, False):
-        named = members.join(final, members.rid == final.node, "left").select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
+        named = C.few_parts(members.join(final, members.rid == final.node, "left"), n_members)
+        named = named.select("key", "rid", "n", F.coalesce("label", "rid").alias("label"))
         code = F.xxhash64("rid", "n")
         held_by = [F.count("*").alias("m"), *(F.sum(x).alias(f"c{i}") for i, x in enumerate((code.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(code, 32))))]
-        apart = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *held_by).where("lo < hi")
+        apart = C.few_parts(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *held_by).where("lo < hi"), n_members)
         # Blocks that the same documents hold need one comparison.
-        apart = apart.groupBy("lo", "hi", "m", "c0", "c1").agg(F.min("key").alias("key")).select("key")
-        still = named.join(apart, "key").persist(StorageLevel.DISK_ONLY)
+        apart = C.few_parts(apart.groupBy("lo", "hi", "m", "c0", "c1").agg(F.min("key").alias("key")), n_members).select("key")
+        still = C.few_parts(named.join(apart, "key"), n_members).persist(StorageLevel.DISK_ONLY)
         n_still = still.count()
         if not n_still:
             still.unpersist()
             break
-        fine = sets.select("rid", "n", "fine").distinct()
-        held = still.join(fine, ["rid", "n"]).withColumn("g", F.pmod(F.xxhash64("key"), F.lit(C.buckets(n_still, OPEN_ROWS))))
-        across = held.groupBy("g").applyInArrow(_across(num, den, forest), "a bigint, b bigint").distinct()
-        links = links.unionAll(_verify(across, texts, words, num, den))
+        # A sketch goes once to each part that compares blocks of its document.
+        parts = C.buckets(n_still, OPEN_ROWS)
+        dealt = still.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(parts)))
+        asked = C.few_parts(dealt.select("g", "rid", "n").distinct(), n_still)
+        ids = C.few_parts(still.select("rid").distinct(), n_still)
+        fine = _of_ids(docs, ids, ids.count()).mapInArrow(_fines(words), "rid bigint, n bigint, fine binary").distinct()
+        sketches = C.few_parts(asked.join(fine, ["rid", "n"]), n_still, OPEN_ROWS).select("g", "rid", "n", "fine").toDF("part", "id", "size", "fine")
+        across = dealt.groupBy("g").cogroup(sketches.groupBy("part")).applyInArrow(_across(num, den, forest), "a bigint, b bigint")
+        across = C.cut(C.few_parts(across.coalesce(parts).distinct(), n_still))
+        more, n_more = _verify(across, across.count(), docs, words, num, den)
+        links, n_links = links.unionAll(more), n_links + n_more
+        C.drop_cut(across)
         still.unpersist()
-        final = components(links)
-    members.unpersist()
+        final = components(links, n_links)
+    cached.unpersist()
     out = rows.join(final, rows.rep == final.node, "left")
+    least = F.coalesce("label", "rep", "rid")
     return out.select(
-        F.when(F.col("rid") != C.NULL_ID, F.col("rid")).alias("doc_id"),
+        "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.coalesce("label", "rep", "rid") != C.NULL_ID, F.coalesce("label", "rep", "rid")).alias("component_id"),
+        F.when(least == C.NULL_ID, F.col("doc_id")).otherwise(least).alias("component_id"),
     )
 
 
-def _all_reps(rows: DataFrame, split: DataFrame) -> DataFrame:
-    """Links between the sets of one id, where its rows have several."""
-    return rows.join(split.select("rid", F.col("b").alias("least")), "rid").select(
-        F.col("rep").alias("a"), F.col("least").alias("b")
-    ).where("a <> b")
-
-
 def keep_first_of_components(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that ``found`` links with a lesser doc_id."""
     lost = C.cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct())
