@@ -93,13 +93,18 @@ WITH d AS (
   SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id, i) AS nth FROM f WHERE next_p IS NOT NULL
 ), gone AS (
   SELECT doc_id, p FROM c WHERE nth > 1 UNION SELECT doc_id, next_p FROM c WHERE nth > 1
+), runs AS (
+  SELECT doc_id, count(*) FILTER (before IS DISTINCT FROM i - 1) AS n FROM (
+    SELECT f.doc_id, i, lag(i) OVER (PARTITION BY f.doc_id ORDER BY i) AS before FROM f SEMI JOIN gone USING (doc_id, p)
+  ) GROUP BY doc_id
 ), kept AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS body FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(len(d.lines), 0)::BIGINT AS n_lines,
        (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id) AS n_removed,
+       coalesce(runs.n, 0)::BIGINT AS n_runs,
        CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.body, '')) END AS kept_sha256
-FROM d LEFT JOIN kept USING (doc_id)
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
 """
 
 

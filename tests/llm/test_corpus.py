@@ -16,7 +16,7 @@ from fissure.llm.chroma import align_recordings, chroma, decode_wav, fingerprint
 from fissure.llm.components import components
 from fissure.llm.decontamination import contamination, drop_contaminated
 from fissure.llm.language_id import codewords, drop_unidentified, identify_language
-from fissure.llm.line_dedup import drop_repeated_lines, line_dedup
+from fissure.llm.line_dedup import _neighbours, common_prefixes, drop_repeated_lines, line_dedup
 from fissure.llm.packing import WordTokenizer, best_fit, pack_documents
 from fissure.llm.parity_join import Bands, close_pairs, fine_sketch, jaccard_components
 from fissure.llm.queries import HOSTILE, word_bpe_path
@@ -273,7 +273,7 @@ def test_line_dedup(spark, m):
     seen, expected = set(), []
     for i, t in sorted(rows, key=lambda r: order(r[0])):
         if t is None:
-            expected.append((i, 0, 0, None))
+            expected.append((i, 0, 0, 0, None))
             continue
         lines = t.split("\n")
         at = [p for p, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
@@ -284,13 +284,45 @@ def test_line_dedup(spark, m):
                 gone |= set(at[j : j + m])
             seen.add(k)
         kept = "\n".join(x for p, x in enumerate(lines) if p not in gone)
-        expected.append((i, len(lines), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        runs = sum(p in gone and (n == 0 or at[n - 1] not in gone) for n, p in enumerate(at))
+        expected.append((i, len(lines), len(gone), runs, hashlib.sha256(kept.encode()).hexdigest()))
     same(line_dedup(table(spark, rows), m).collect(), expected)
     if m == 2:
-        assert set(drop_repeated_lines(table(spark, rows)).columns) == {*table(spark, rows).columns, "n_lines", "n_removed"}
+        assert set(drop_repeated_lines(table(spark, rows)).columns) == {*table(spark, rows).columns, "n_lines", "n_removed", "n_runs"}
         assert line_dedup(table(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_common_prefixes_are_all_found(spark, m):
+    """Every suffix and depth whose prefix stands elsewhere, with its first occurrence."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(15)
+    docs = [[rng.choice("abc") for _ in range(rng.randrange(1, 30))] for _ in range(12)]
+    docs += [docs[0] * 2, docs[1], [*"xyz"] * 11]
+    depths = [m * 2**k for k in range(8)]
+    places = {}
+    for d, x in enumerate(docs):
+        for i in range(len(x)):
+            for n in depths:
+                if i + n <= len(x):
+                    places.setdefault((n, tuple(x[i : i + n])), []).append((d, i))
+    expected = {(d, i, n, p[0]) for (n, _), p in places.items() if len(p) > 1 for d, i in p}
+    rows = spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(docs)], "rid bigint, text string").withColumn("tk", F.xxhash64("text"))
+    found = common_prefixes(_neighbours(rows, 0), m).collect()
+    assert {(r["rid"], r["i"], r["depth"], (r["first"]["rid"], r["first"]["i"])) for r in found} == expected
+    assert len(found) == len(expected) and max(r["depth"] for r in found) >= 16
+
+
+def test_line_dedup_keeps_other_columns(spark):
+    rows = [(1, "a\nb", 42, "x", [1], 5, None), (2, "q\na\nb", 43, "y", None, 6, 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, rid int, lines string, runs array<int>, n_lines int, tk int")
+    found = drop_repeated_lines(df)
+    assert [c for c in found.columns if c in df.columns] == ["doc_id", "rid", "lines", "runs", "tk", "text", "n_lines"]
+    got = {r["doc_id"]: (r["rid"], r["lines"], r["runs"], r["tk"], r["text"], r["n_lines"]) for r in found.collect()}
+    assert got == {1: (42, "x", [1], None, "a\nb", 2), 2: (43, "y", None, 7, "q", 3)}
+
+
 @pytest.mark.parametrize("m", [1, 2, 3])
 def test_line_dedup_takes_equal_rows_as_one_document(spark, m):
     rows = [(1, "p\nq\nr"), *[(2, "a\nb\nc")] * 2, *[(3, "d\ne\n\nf")] * 3, *[(None, "p\nq\nr\ng\nh")] * 2, *[(None, "k\nl\nm")] * 3]
