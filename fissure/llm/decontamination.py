@@ -11,14 +11,16 @@ query.  Evaluation is vectorised over the passages of a chunk:
 * Block-max: items lie in blocks of ``BLOCK`` neighbours with the largest weight of each term; a
   passage's bound for a block discards it before any item is scored.
 * All items above the threshold are then verified: 5-word shingles of the whole item (``min_overlap``)
-  and of its question and its answer (``min_part``).  An item's last sentence of 5 or more words is its
-  answer, else its last quarter.
+  and of its question and its answer (``min_part``; 2-word shingles where these have fewer than 10 words, so
+  that one changed word leaves enough of them).  An item's last sentence of 5 or more words is its answer,
+  else its last quarter.
 
-The index is broadcast in parts of at most ``MAX_INDEX_BYTES`` of item text; a larger benchmark takes
-several passes over the documents.
+The index is built and broadcast in parts of at most ``MAX_INDEX_BYTES`` of item text, one at a time; a
+larger benchmark takes several passes over the documents.  Document frequencies, the number of items, their
+mean length and the passages' length come from the whole benchmark, so parts change no score.
 
 Defined cases: null or empty texts and items match nothing; items of fewer than 5 words are one
-shingle; null ids stay null; rows that repeat are reported as often; other columns are ignored; an
+shingle; null ids stay null, and item ids keep their type; rows that repeat are reported as often; other columns are ignored; an
 empty table or benchmark gives an empty result.
 """
 
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fissure.llm import common as C
 
@@ -57,10 +60,10 @@ def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
 
 
-def _shingles(wh: np.ndarray) -> np.ndarray:
-    if len(wh) < SHINGLE:
-        return C.windows(wh, len(wh))
-    return C.windows(wh, SHINGLE)
+def _part(wh: np.ndarray, k: int) -> tuple[int, np.ndarray]:
+    """Distinct shingles of k words, fewer if there are not as many."""
+    k = min(k, len(wh))
+    return k, np.unique(C.windows(wh, k))
 
 
 def _answer_words(text: str, n_words: int) -> int:
@@ -92,18 +95,17 @@ class Rows:
 
 
 class Index:
-    def __init__(self, ids: list, texts: list[str], threshold: float):
+    """A part of the benchmark; ``terms`` (ascending) and ``df`` are its terms' document frequencies among all
+    ``n_items`` items, of ``mean`` words on average and ``longest`` at most."""
+
+    def __init__(self, ids: list, texts: list[str], threshold: float, terms: np.ndarray, df: np.ndarray, n_items: int, mean: float, longest: int):
         wh, first = _hashes(*_bytes(texts))
         keep = [i for i in range(len(texts)) if first[i + 1] > first[i]]
         self.ids = [ids[i] for i in keep]
         words = [wh[first[i] : first[i + 1]] for i in keep]
-        self.threshold = threshold
-        self.longest = max(map(len, words), default=0)
-        self.terms = np.unique(wh)
-        n, mean = len(words), float(np.mean([len(w) for w in words])) if words else 1.0
+        self.threshold, self.longest, self.terms, n = threshold, longest, terms, len(words)
         tf = [np.unique(np.searchsorted(self.terms, w), return_counts=True) for w in words]
-        df = np.bincount(np.concatenate([t for t, _ in tf]), minlength=len(self.terms)) if words else np.zeros(0)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
         rows = []
         for (t, f), w in zip(tf, words):
             x = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
@@ -137,7 +139,8 @@ class Index:
         self.parts = []
         for i, w in zip(keep, words):
             a = _answer_words(texts[i], len(w))
-            self.parts.append((np.unique(_shingles(w)), np.unique(_shingles(w[: len(w) - a])) if a < len(w) else None, np.unique(_shingles(w[-a:]))))
+            k = [SHINGLE if m >= 2 * SHINGLE else 2 for m in (len(w) - a, a)]
+            self.parts.append((_part(w, SHINGLE), _part(w[: len(w) - a], k[0]) if a < len(w) else None, _part(w[-a:], k[1])))
 
     def retrieve(self, wh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, passage start, item, score) of all passages and items at or above the threshold."""
@@ -205,30 +208,46 @@ class Index:
         return [(d, i, *row[:4], -row[4]) for (d, i), row in sorted(best.items())]
 
     @staticmethod
-    def _share(part: np.ndarray | None, words: np.ndarray) -> float:
-        if part is None:
-            return 1.0
-        if len(words) < SHINGLE:
-            return float(np.isin(part, _shingles(words)).mean())
-        held = C.windows(words, SHINGLE)
-        found = np.isin(part, held)
-        if len(part) == 1 and not found[0]:  # may be a part of fewer words
-            found = np.array([any(part[0] in C.windows(words, k) for k in range(1, SHINGLE))])
-        return float(found.mean())
-
-
-def _indexes(benchmark: DataFrame, threshold: float) -> list[Index]:
+    def _share(part: tuple[int, np.ndarray] | None, words: np.ndarray) -> float:
+        return 1.0 if part is None else float(np.isin(part[1], C.windows(words, part[0])).mean())
+
+
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each item with a word: its part, its number of words and its distinct terms."""
+    for t in C.chunks(batches):
+        wh, first = _hashes(t.data, t.off)
+        some = np.flatnonzero(np.diff(first))
+        found = [np.unique(wh[first[i] : first[i + 1]]).view(np.int64) for i in some]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "part": t.column("part").take(pa.array(some, pa.int64())),
+                "n_words": pa.array(np.diff(first)[some], pa.int64()),
+                "terms": pa.array([x.tolist() for x in found], pa.list_(pa.int64())),
+            }
+        )
+
+
+def _indexes(benchmark: DataFrame, threshold: float) -> Iterator[Index]:
+    """One part of the index after the other."""
     C.small_batches(benchmark.sparkSession)
     items = benchmark.where("text is not null and text <> ''").select("item_id", F.col("text").cast("string").alias("text"))
     parts = C.buckets(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0, MAX_INDEX_BYTES // 2)
-    out = []
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    found = items.select("part", "text").mapInArrow(_item_terms, "part bigint, n_words bigint, terms array<bigint>")
+    n_items, mean, longest = found.agg(F.count("*"), F.avg("n_words"), F.max("n_words")).first()
+    if not n_items:
+        return
+    held = C.cut(found.select("part", F.explode("terms").alias("term")).groupBy("part", "term").agg(F.count("*").alias("n")))
+    everywhere = held.groupBy("term").agg(F.sum("n").alias("df"))
+    held = C.cut(held.join(everywhere, "term").select("part", "term", "df")) if parts > 1 else held.withColumnRenamed("n", "df")
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        if rows:
-            index = Index([r["item_id"] for r in rows], [r["text"] for r in rows], threshold)
-            if index.ids:
-                out.append(index)
-    return out
+        rows = items.where(F.col("part") == k).orderBy("item_id", "text").collect()
+        known = held.where(F.col("part") == k).select("term", "df").toArrow()
+        term, df = known.column("term").to_numpy().view(C.U64), known.column("df").to_numpy()
+        order = np.argsort(term)
+        index = Index([r["item_id"] for r in rows], [r["text"] for r in rows], threshold, term[order], df[order], n_items, mean, longest)
+        if index.ids:
+            yield index
 
 
 def contamination(
@@ -237,7 +256,8 @@ def contamination(
     """doc_id, item_id, score, overlap, question_overlap, answer_overlap, word (start of the passage):
     the best passage of each document for each item that it holds."""
     spark = docs.sparkSession
-    schema = "doc_id bigint, item_id bigint, score double, overlap double, question_overlap double, answer_overlap double, word bigint"
+    item_type = benchmark.schema["item_id"].dataType
+    schema = f"doc_id bigint, item_id {item_type.simpleString()}, score double, overlap double, question_overlap double, answer_overlap double, word bigint"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
     for index in _indexes(benchmark, threshold):
@@ -249,7 +269,7 @@ def contamination(
                 found = ix.matches(t, min_overlap, min_part)
                 if found:
                     doc, item, *rest = zip(*found)
-                    columns = [t.column("doc_id").take(pa.array(doc)), pa.array([ix.ids[i] for i in item], pa.int64())]
+                    columns = [t.column("doc_id").take(pa.array(doc)), pa.array([ix.ids[i] for i in item], to_arrow_type(item_type))]
                     columns += [pa.array(x, pa.float64()) for x in rest[:4]] + [pa.array(rest[4], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
