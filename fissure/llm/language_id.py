@@ -4,7 +4,7 @@ Each language has a codeword; for each bit a binary classifier over hashed byte
 only, A-Z lower-cased, anything else one space) weighs the languages with a 1 against those with a 0.
 The classifiers are log-odds of smoothed trigram counts over all labelled training rows: counts are
 summed per task, then per language, so what is shuffled and what reaches the driver is a table of
-fixed size per language.  Decoding takes the codeword with the least loss over the bits, each bit's
+fixed size per language (256 KB); the model grows with the languages, not with the rows.  Decoding takes the codeword with the least loss over the bits, each bit's
 loss weighted by how far apart it holds its two sides; a small gap to the next codeword is ambiguous.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null
@@ -26,7 +26,6 @@ from fissure.llm import common as C
 
 SLOTS = 1 << 15
 FEW_BYTES = 1 << 20
-MAX_LANGUAGES = 256
 SHARP = 4.0
 
 # Bytes as the classifiers see them.
@@ -86,8 +85,11 @@ def codewords(n: int) -> np.ndarray:
 
 
 def _apart(m: np.ndarray) -> int:
-    d = (m[:, None, :] != m[None, :, :]).sum(2)
-    return int(d[~np.eye(len(m), dtype=bool)].min())
+    """The least Hamming distance of two rows."""
+    sign = m.astype(np.float32) * 2 - 1
+    agree = sign @ sign.T
+    np.fill_diagonal(agree, -np.inf)
+    return int((m.shape[1] - agree.max()) / 2)
 
 
 class LanguageModel:
@@ -110,12 +112,8 @@ class LanguageModel:
 
     def decode(self, margins: np.ndarray) -> np.ndarray:
         """Loss of each language for each row of bit margins."""
-        out = np.zeros((len(margins), len(self.langs)))
-        for b, weight in enumerate(self.side):
-            for l in range(len(self.langs)):
-                sign = 1.0 if self.code[l, b] else -1.0
-                out[:, l] += weight * np.logaddexp(0.0, -SHARP * sign * margins[:, b])
-        return out
+        zero, one = (np.logaddexp(0.0, SHARP * sign * margins) * self.side for sign in (1, -1))
+        return zero @ (1.0 - self.code.T) + one @ self.code.T.astype(np.float64)
 
 
 def fit_language_model(labelled: DataFrame) -> LanguageModel:
@@ -123,9 +121,7 @@ def fit_language_model(labelled: DataFrame) -> LanguageModel:
     C.small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
     sums = rows.mapInArrow(_counts, "lang string, counts binary").groupBy("lang").applyInArrow(_total, "lang string, counts binary")
-    found = sorted((r["lang"], r["counts"]) for r in sums.limit(MAX_LANGUAGES + 1).collect())
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = sorted((r["lang"], r["counts"]) for r in sums.collect())
     counts = np.array([C.unplanes(bytes(c), np.int64) for _, c in found], np.float64).reshape(-1, SLOTS)
     return LanguageModel([lang for lang, _ in found], counts)
 
@@ -179,7 +175,8 @@ def _predict(model, ambiguous_gap: float, extra: list[str]):
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, ambiguous_gap: float = 0.05) -> DataFrame:
-    """The given rows with lang_pred, score (0 to 1) and ambiguous; they must not have these columns."""
+    """The given rows with lang_pred, score (0 to 1) and ambiguous, which replace columns of these names."""
+    docs = docs.drop("lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size per language and bit
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = f"{schema}, lang_pred string, score double, ambiguous boolean"
