@@ -3,17 +3,18 @@
 1. *Voters.*  Over a bounded sample of labelled rows, counts of documents with each word and each word
    beginning (4 to 6 bytes), by label, give the terms that speak for label 1.  They are dealt to
    ``N_LEXICONS`` lexicon voters by hash; pattern voters look at the form of a text (shouting, marks,
-   repeated signs, density of terms, first terms).  A voter says 1, 0 or abstains.
-2. *Label model.*  A latent label with one accuracy table per voter is fitted to the votes alone by
-   expectation maximization (labels only give its prior and tell its two sides apart).  Correlations
-   of voters given the label are estimated from the residuals; a voter's evidence is divided by the
-   number of voters it stands in for, so copies of one signal don't add up.
+   repeated signs, density of terms, terms among the first words).  A voter says 1, 0 or abstains.
+2. *Label model.*  A generative model of the votes with a latent label is fitted to them alone by
+   expectation maximization (labels only give its prior and tell its two sides apart).  Each voter has an
+   accuracy table given the label.  The strongest dependencies that remain given the label form a forest,
+   and each of its pairs gets a factor: a voter's table then also depends on its neighbour's vote, and all
+   tables are fitted together.  A copy says nothing new once its neighbour is known.
 3. *Classifier.*  Logistic regression over the terms is trained on the posterior labels and scores
    every text.
 
 Labels are read for rows that are not held out only; source, lang and ids are never inputs.  What is
-gathered is bounded: ``max_per_label`` labelled rows of each label, chosen by hash, and tables of
-``N_TERMS`` terms.
+gathered is bounded: ``max_per_label`` labelled rows of each label, chosen by hash, and the terms among
+these rows' words that pass the tests.
 
 Defined cases: a null or empty text scores as one without any term; a null label is unknown; a null
 doc_id is not held out and has no label; several labels for one doc_id count as their maximum; with no
@@ -34,12 +35,13 @@ from fissure.llm.language_id import held_out
 from fissure.llm.parity_join import shingle_sets
 
 N_LEXICONS = 12
-N_TERMS = 4096
 BEGINNINGS = (4, 5, 6)
 MAX_PER_LABEL = 6000
 THRESHOLD = 0.3
 N_HASHES = 4
 MIN_ODDS = 3.0  # log-odds: a term speaks for label 1 about 20 times as often as against it
+OPENING = 50
+DEPENDENT = 0.2  # correlation given the label from which a pair of voters gets a factor
 
 
 def _letters(data: np.ndarray) -> np.ndarray:
@@ -103,38 +105,21 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     if hs:
         h, y = np.concatenate(hs), np.concatenate(ys)
         keys, at = np.unique(h, return_inverse=True)
-        ones = np.bincount(at, weights=y, minlength=len(keys)).astype(np.uint32)
-        zeros = np.bincount(at, weights=1 - y, minlength=len(keys)).astype(np.uint32)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "g": pa.array([0], pa.int32()),
-                "h": pa.array([keys.tobytes()], pa.binary()),
-                "ones": pa.array([C.planes(ones)], pa.binary()),
-                "zeros": pa.array([C.planes(zeros)], pa.binary()),
-            }
-        )
-
-
-def _pick_terms(n_terms: int, totals: tuple[int, int]):
-    def run(table: pa.Table) -> pa.Table:
-        parts = [
-            (np.frombuffer(r["h"], C.U64), C.unplanes(r["ones"], np.uint32), C.unplanes(r["zeros"], np.uint32)) for r in table.to_pylist()
-        ]
-        h, ones, zeros = (np.concatenate(x) for x in zip(*parts))
-        keys, at = np.unique(h, return_inverse=True)
-        a = np.bincount(at, weights=ones, minlength=len(keys))
-        b = np.bincount(at, weights=zeros, minlength=len(keys))
-        rate1, rate0 = (a + 0.05) / (totals[1] + 1), (b + 0.05) / (totals[0] + 1)
-        odds = np.log(rate1 / rate0)
-        share = totals[1] / (totals[0] + totals[1])  # what chance gives label 1; G tests against it, about one term passing by chance
-        both = a + b
-        g = 2 * (a * np.log(np.maximum(a, 1e-9) / (both * share)) + b * np.log(np.maximum(b, 1e-9) / (both * (1 - share))))
-        use = np.flatnonzero((g >= 2 * np.log(len(keys))) & (odds > MIN_ODDS))
-        gain = a[use] * odds[use]
-        use = use[np.argsort(-gain, kind="stable")[:n_terms]]
-        return pa.table({"h": pa.array(keys[use].view(np.int64)), "odds": pa.array(odds[use])})
+        ones = np.bincount(at, weights=y, minlength=len(keys)).astype(np.int64)
+        zeros = np.bincount(at, weights=1 - y, minlength=len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"h": pa.array(keys.view(np.int64)), "ones": pa.array(ones), "zeros": pa.array(zeros)})
 
-    return run
+
+def _telling_terms(rows: DataFrame, totals: tuple[int, int], min_odds: float) -> DataFrame:
+    """(h, odds): terms that speak for label 1, by their counts of documents of each label."""
+    counts = rows.mapInArrow(_document_counts, "h bigint, ones bigint, zeros bigint").groupBy("h")
+    counts = C.cut(counts.agg(F.sum("ones").alias("a"), F.sum("zeros").alias("b")))
+    odds = F.log((F.col("a") + 0.05) / (totals[1] + 1)) - F.log((F.col("b") + 0.05) / (totals[0] + 1))
+    share = totals[1] / (totals[0] + totals[1])  # what chance gives label 1; G tests against it, about one term passing by chance
+    both = F.col("a") + F.col("b")
+    g = sum(2 * F.col(c) * F.log(F.greatest(F.col(c), F.lit(1e-9)) / (both * p)) for c, p in (("a", share), ("b", 1 - share)))
+    least = 2 * float(np.log(max(1, counts.count())))
+    return counts.where((g >= least) & (odds > min_odds)).select("h", odds.alias("odds"))
 
 
 class Terms:
@@ -148,8 +133,8 @@ class Terms:
         return len(self.hashes)
 
 
-def _found(t: C.Texts, known: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, term) pairs of a chunk, and each document's count of matches.
+def _found(t: C.Texts, known: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, term) pairs of a chunk, and each document's count of matches in all and in its opening.
 
     A word counts as one term, of those that it has the one with the highest odds: a beginning that many
     forms share stands for all of them.
@@ -158,7 +143,7 @@ def _found(t: C.Texts, known: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray
     starts, ends, first = C.word_spans(data, t.off)
     doc = np.repeat(np.arange(t.n), np.diff(first))
     if not len(known) or not len(doc):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(t.n, np.int64)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(t.n, np.int64),) * 2
     best, best_odds = np.zeros(len(starts), np.int64), np.full(len(starts), -np.inf)
     for k in (*BEGINNINGS, 0):
         at = np.flatnonzero(ends - starts >= k) if k else np.arange(len(starts))
@@ -168,15 +153,16 @@ def _found(t: C.Texts, known: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray
         best[at[better]], best_odds[at[better]] = i[better], known.odds[i[better]]
     hit = np.isfinite(best_odds)
     pair = np.unique(doc[hit] * len(known) + best[hit])
-    return pair // len(known), pair % len(known), np.bincount(doc[hit], minlength=t.n)
+    opening = hit & (np.arange(len(doc)) - first[doc] < OPENING)
+    return pair // len(known), pair % len(known), *(np.bincount(doc[x], minlength=t.n) for x in (hit, opening))
 
 
 PATTERNS = ("terms_3", "density", "first_words", "marks", "shouting", "doubled_signs")
 
 
-def votes(t: C.Texts, known: Terms) -> np.ndarray:
+def votes(t: C.Texts, known: Terms, found: tuple[np.ndarray, ...]) -> np.ndarray:
     """Votes of all voters on each document of a chunk: 1, 0, or -1 to abstain."""
-    doc, term, count = _found(t, known)
+    doc, term, count, opening = found
     n_words = np.maximum(1, np.diff(t.words()[2]))
     out = np.full((t.n, N_LEXICONS + len(PATTERNS)), -1, np.int8)
     any_term = np.bincount(doc, minlength=t.n)
@@ -185,9 +171,7 @@ def votes(t: C.Texts, known: Terms) -> np.ndarray:
     out[:, N_LEXICONS] = np.where(any_term >= 3, 1, np.where(any_term == 0, 0, -1))
     rate = count / n_words
     out[:, N_LEXICONS + 1] = np.where(rate > 0.01, 1, np.where(rate == 0, 0, -1))
-    for i in range(t.n):
-        head = bytes(t.data[t.off[i] : min(t.off[i] + 400, t.off[i + 1])])
-        out[i, N_LEXICONS + 2] = 1 if any_term[i] and rate[i] * 50 > 1 else (0 if len(head) > 300 and not any_term[i] else -1)
+    out[:, N_LEXICONS + 2] = np.where(opening > 0, 1, np.where(n_words > OPENING, 0, -1))
     ones = [np.r_[0, np.cumsum(m)] for m in ((t.data == 33) | (t.data == 63), (t.data >= 65) & (t.data <= 90))]
     size = np.maximum(1, np.diff(t.off))
     marks, upper = (np.diff(o[t.off]) / size for o in ones)
@@ -201,10 +185,11 @@ def votes(t: C.Texts, known: Terms) -> np.ndarray:
 def _sample_votes(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in C.chunks(batches):
-            v = votes(t, known)
-            doc, term, _ = _found(t, known)
+            found = _found(t, known)
+            v = votes(t, known, found)
+            doc, term, *_ = found
             cut = np.searchsorted(doc, np.arange(t.n + 1))
-            term = term.astype(np.uint16)
+            term = term.astype(np.uint32)
             yield pa.RecordBatch.from_pydict(
                 {
                     "toxic": t.column("toxic").cast(pa.int32()),
@@ -216,36 +201,63 @@ def _sample_votes(known):
     return run
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of label 1 for each row of votes, vote tables (label, voter, vote), correlations.
+def _forest(weight: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """(voter, parent) in an order in which parents come first; a voter without a dependency has parent -1.
+
+    The pairs form a spanning forest of the greatest weights over ``least``.
+    """
+    m, out, free = len(weight), [], set(range(len(weight)))
+    while free:
+        gain = [(weight[j, k], -j, -k) for j in free for k, _ in out if weight[j, k] > least]
+        if gain:
+            _, j, k = max(gain)
+            out.append((-j, -k))
+        else:
+            out.append((min(free, key=lambda j: (-np.sort(weight[j])[-2:].sum(), j)) if m > 1 else 0, -1))
+        free.discard(out[-1][0])
+    return out
+
+
+def label_model(v: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Posterior of label 1 for each row of votes, vote tables (label, voter, vote), correlations given the
+    label, and the (voter, parent) pairs that have a factor of their own.
 
-    Starts from the voters' own majority and never sees labels but the prior.
+    Starts from the voters' own majority and never sees labels but the prior.  The first half of the rounds
+    takes voters as independent given the label; then the forest of dependencies is chosen, and tables of each
+    voter given the label and its parent's vote are fitted together.
     """
     n, m = v.shape
     shown = np.stack([v == -1, v == 0, v == 1], 2).astype(np.float64)
     raw = (v == 1).astype(float) - (v == 0)
     raw = (raw - raw.mean(0)) / (raw.std(0) + 1e-9)
-    copies = 1.0 / (np.abs(raw.T @ raw / max(1, n)) > 0.8).sum(1).clip(1)  # voters that say the same count once
+    copies = 1.0 / (np.abs(raw.T @ raw / max(1, n)) > 0.8).sum(1).clip(1)  # where it starts, voters that say the same count once
     said = ((v == 1) * copies).sum(1) - ((v == 0) * copies).sum(1)
     q = np.clip(np.where(said > 0, 0.95, prior / 10), 1e-4, 1 - 1e-4)
-    share = copies
-    corr = np.eye(m)
+    corr, pairs = np.eye(m), []
     for step in range(rounds):
-        tables = np.stack([(w[:, None, None] * shown).sum(0) + 0.5 for w in (1 - q, q)])
+        sides = (1 - q, q)
+        tables = np.stack([(w[:, None, None] * shown).sum(0) + 0.5 for w in sides])
         tables /= tables.sum(2, keepdims=True)
-        logs = np.einsum("nmk,lmk->nlm", shown, np.log(tables))
-        if step >= rounds // 2:  # residuals given the label, once the two sides have settled
-            mean = (q[:, None] * (tables[1, :, 2] - tables[1, :, 1]) + (1 - q)[:, None] * (tables[0, :, 2] - tables[0, :, 1]))
+        if step == rounds // 2:  # the two sides have settled
+            mean = sum(w[:, None] * (t[:, 2] - t[:, 1]) for w, t in zip(sides, tables))
             rest = (v == 1).astype(float) - (v == 0) - mean
-            scale = np.sqrt((rest**2).mean(0)) + 1e-9
-            corr = (rest / scale).T @ (rest / scale) / n
-            share = np.minimum(copies, 1.0 / np.abs(np.where(np.abs(corr) > 0.2, corr, 0.0)).sum(1).clip(1.0))
-        odds = np.log(prior / (1 - prior)) + ((logs[:, 1] - logs[:, 0]) * share).sum(1)
+            rest /= np.sqrt((rest**2).mean(0)) + 1e-9
+            corr = rest.T @ rest / n
+            pairs = _forest(np.abs(corr) * (1 - np.eye(m)), DEPENDENT)
+        odds = np.full(n, np.log(prior / (1 - prior)))
+        for j, k in pairs or [(j, -1) for j in range(m)]:
+            given = shown[:, k] if k >= 0 else np.ones((n, 1))
+            log = []
+            for w in sides:
+                joint = (w[:, None] * given).T @ shown[:, j] + 0.5
+                log.append((given @ np.log(joint / joint.sum(1, keepdims=True)) * shown[:, j]).sum(1))
+            share = copies[j] if not pairs else 1.0
+            odds += (log[1] - log[0]) * share
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if step > rounds // 2 and np.abs(new - q).max() < 1e-6:
             break
         q = new
-    return q, tables, corr
+    return q, tables, corr, [(j, k) for j, k in pairs if k >= 0]
 
 
 def logistic(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, n: int, ridge: float = 0.1) -> tuple[np.ndarray, float]:
@@ -271,7 +283,7 @@ class ToxicityModel:
         self.known, self.weights, self.intercept = known, weights, intercept
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, min_odds: float = MIN_ODDS) -> ToxicityModel:
     """Fits on at most ``max_per_label`` rows of each label, those with the least hashes of doc_id.
 
     ``docs`` and ``labels`` must hold rows that may be learned from only.
@@ -291,31 +303,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PE
     used = (sum(y == 0 for _, y in single), sum(y == 1 for _, y in single))
     if not min(used):
         return ToxicityModel(Terms(np.zeros(0, C.U64), np.zeros(0)), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
-    found = (
-        rows.mapInArrow(_document_counts, "g int, h binary, ones binary, zeros binary")
-        .groupBy("g")
-        .applyInArrow(_pick_terms(N_TERMS, used), "h bigint, odds double")
-        .collect()
-    )
+    found = _telling_terms(rows, used, min_odds).collect()
     terms_ = Terms(np.array([r["h"] for r in found], np.int64).view(C.U64), np.array([r["odds"] for r in found], np.float64))
     for last in (False, True):
         seen = rows.mapInArrow(_sample_votes(terms_), "toxic int, votes binary, terms binary").collect()
         v = np.array([np.frombuffer(bytes(r["votes"]), np.int8) for r in seen])
         y = np.array([r["toxic"] for r in seen])
-        sparse = [np.frombuffer(bytes(r["terms"]), np.uint16) for r in seen]
+        sparse = [np.frombuffer(bytes(r["terms"]), np.uint32) for r in seen]
         if last or not len(seen):
             break
         # Where a word has several terms only one counts; terms that speak for label 1 no more go.
         col = np.concatenate(sparse)
         a, b = (np.bincount(col, weights=np.repeat(y == k, [len(x) for x in sparse]), minlength=len(terms_)) for k in (1, 0))
-        keep = np.log((a + 0.05) / (used[1] + 1)) - np.log((b + 0.05) / (used[0] + 1)) > MIN_ODDS
+        keep = np.log((a + 0.05) / (used[1] + 1)) - np.log((b + 0.05) / (used[0] + 1)) > min_odds
         keep &= a > 0
         if keep.all():
             break
         terms_ = Terms(terms_.hashes[keep], terms_.odds[keep])
     if not len(seen) or y.min() == y.max():
         return ToxicityModel(Terms(np.zeros(0, C.U64), np.zeros(0)), np.zeros(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
-    q, _, _ = label_model(v, float(np.clip(y.mean(), 0.01, 0.99)))
+    q, *_ = label_model(v, float(np.clip(y.mean(), 0.01, 0.99)))
     if q[y == 1].mean() < q[y == 0].mean():
         q = 1 - q
     # The sample holds the labels in other shares than the rows it stands for.
@@ -329,7 +336,7 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for t in C.chunks(batches):
-            doc, term, _ = _found(t, m.known)
+            doc, term, *_ = _found(t, m.known)
             z = m.intercept + np.bincount(doc, weights=m.weights[term], minlength=t.n)
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_pydict(
@@ -348,6 +355,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_
     """doc_id, held_out, score (0 to 1), predicted (score >= 0.3) of every text."""
     rest = held_out(F.col("doc_id"), 4, 2)
     model = fit_toxicity(docs.where(~rest).select("doc_id", "text"), labels.where(~rest).select("doc_id", "toxic"), max_per_label)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # N_TERMS hashes and weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # hashes and weights of terms of the sample
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rest.alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_score(shared), "doc_id bigint, held_out boolean, score double, predicted int")

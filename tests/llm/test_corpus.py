@@ -11,18 +11,19 @@ import numpy as np
 import pytest
 
 from fissure.llm import common as C
+from fissure.llm import decontamination
 from fissure.llm.chat_format import HEAD, chat_digests, format_chats, read_chats
 from fissure.llm.chroma import align_recordings, chroma, decode_wav, fingerprint, fingerprints, recordings_of
 from fissure.llm.components import components
 from fissure.llm.decontamination import contamination, drop_contaminated
-from fissure.llm.language_id import codewords, drop_unidentified, identify_language
+from fissure.llm.language_id import LanguageModel, codewords, drop_unidentified, identify_language
 from fissure.llm.line_dedup import _neighbours, common_prefixes, drop_repeated_lines, line_dedup
-from fissure.llm.packing import WordTokenizer, best_fit, pack_documents
+from fissure.llm.packing import LOOK_AHEAD, WordTokenizer, best_fit, buffered, pack_documents
 from fissure.llm.parity_join import Bands, close_pairs, fine_sketch, jaccard_components
 from fissure.llm.queries import HOSTILE, word_bpe_path
 from fissure.llm.substring_dedup import substring_dedup
 from fissure.llm.suffix_dedup import repeated_windows, short_prefixes, suffix_array, suffix_dedup
-from fissure.llm.toxicity import label_model, score_toxicity
+from fissure.llm.toxicity import N_LEXICONS, PATTERNS, Terms, _found, label_model, score_toxicity, votes
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, rid int, pos string, bucket int, score string, label int, _rid int"
 NULL_LAST = 1 << 63
@@ -471,12 +472,48 @@ def test_label_model_finds_accuracies_and_copies():
     y = rng.random(4000) < 0.3
     v = np.stack([np.where(rng.random(4000) < a, y, ~y).astype(np.int8) for a in (0.95, 0.9, 0.9, 0.6)], 1)
     v = np.c_[v, v[:, 3], v[:, 3]]
-    q, tables, corr = label_model(v, 0.3)
+    q, tables, corr, pairs = label_model(v, 0.3)
     assert ((q > 0.5) == y).mean() > 0.95
     assert corr[3, 4] > 0.9 and abs(corr[0, 1]) < 0.3
+    assert len(pairs) == 2 and {x for p in pairs for x in p} == {3, 4, 5}  # the copies, and nothing else
+    alone, *_ = label_model(v[:, :4], 0.3)
+    assert np.abs(q - alone).mean() < 0.01  # copies change no posterior
     assert tables[1, 0, 2] > 0.85 > tables[1, 3, 2]
 
 
+def test_label_model_recovers_dependent_voters():
+    """Votes drawn from a model with a pair of dependent voters: its tables are found, and posteriors follow them."""
+    rng = np.random.default_rng(22)
+    y = rng.random(20000) < 0.3
+    right = (0.92, 0.9, 0.88, 0.85, 0.85, 0.8, 0.75)
+    v = np.stack([np.where(rng.random(len(y)) < a, y, ~y).astype(np.int8) for a in right], 1)
+    follows = np.where(rng.random(len(y)) < 0.7, v[:, 6], np.where(rng.random(len(y)) < 0.6, y, ~y)).astype(np.int8)
+    v = np.c_[v, follows]
+    q, tables, _, pairs = label_model(v, 0.3)
+    assert pairs in ([(7, 6)], [(6, 7)])
+    logit = np.log(0.3 / 0.7)
+    for j, a in enumerate(right):
+        assert abs(tables[1, j, 2] - a) < 0.03 and abs(tables[0, j, 1] - a) < 0.03
+        logit = logit + np.where(v[:, j] == 1, 1, -1) * np.log(a / (1 - a))
+    stay = {(x, z): 0.7 + 0.3 * (0.6 if x == z else 0.4) for x in (0, 1) for z in (0, 1)}
+    for x in (0, 1):
+        for z in (0, 1):
+            given = [stay[x, y1] if z == x else 1 - stay[x, y1] for y1 in (0, 1)]
+            logit += np.where((v[:, 6] == x) & (v[:, 7] == z), np.log(given[1] / given[0]), 0)
+    assert np.abs(q - 1 / (1 + np.exp(-logit))).mean() < 0.02
+
+
+def test_opening_voter_counts_first_words():
+    import pyarrow as pa
+
+    bad = "scum"
+    texts = [f"{bad} " + "word " * 80, "word " * 80 + bad, "word " * 80, "word", f"word {bad}"]
+    (t,) = C.chunks([pa.RecordBatch.from_pydict({"text": pa.array(texts)})])
+    known = Terms(C.span_hashes(np.frombuffer(bad.encode(), np.uint8), np.array([0]), np.array([4])), np.ones(1))
+    v = votes(t, known, _found(t, known))
+    assert v[:, N_LEXICONS + PATTERNS.index("first_words")].tolist() == [1, 0, 0, -1, 1]
+
+
 def test_decontamination(spark):
     rng = random.Random(12)
     items = [(i, " ".join(words(rng, rng.randrange(14, 60), 3000)) + ". " + " ".join(words(rng, 6, 3000)) + ".") for i in range(30)]
@@ -503,6 +540,105 @@ def test_decontamination(spark):
     assert contamination(table(spark, rows).limit(0), bench).count() == 0
 
 
+def by_exhaustive_bm25(rows, items, threshold):
+    """(doc, passage start, item) whose BM25 score, as a share of the item's own, reaches the threshold."""
+
+    def tokens(text):
+        return ["".join(c for c in w) for w in re.sub(r"[^a-z0-9\x80-\U0010ffff]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")).split()]
+
+    import math
+
+    held = {i: w for i, t in items if (w := tokens(t))}
+    mean, longest = sum(map(len, held.values())) / len(held), max(map(len, held.values()))
+    df = {}
+    for w in held.values():
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    weight = {}
+    for i, w in held.items():
+        raw = {x: math.log(1 + (len(held) - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in set(w)}
+        weight[i] = {x: v / sum(raw.values()) for x, v in raw.items()}
+    out = {}
+    for d, t in rows:
+        w = tokens(t)
+        for start in range(0, len(w), longest):
+            passage = set(w[start : start + 2 * longest])
+            for i, x in weight.items():
+                if (score := sum(v for k, v in x.items() if k in passage)) >= threshold:
+                    out[d, start, i] = score
+    return out
+
+
+def test_retrieval_equals_exhaustive_bm25(spark):
+    import pyarrow as pa
+
+    from fissure.llm.decontamination import _indexes
+
+    rng = random.Random(16)
+    items = [(i, " ".join(words(rng, rng.randrange(1, 40), 120))) for i in range(50)] + [(60, "only"), (61, "!?"), (62, "")]
+    rows = [(i, " ".join(words(rng, rng.randrange(0, 300), 120))) for i in range(40)]
+    for i in range(0, 40, 2):
+        w = rows[i][1].split(" ")
+        at = rng.randrange(len(w) + 1)
+        some = rng.choice(items)[1].split(" ")
+        rows[i] = (i, " ".join([*w[:at], *some[: rng.randrange(1, len(some) + 1)], *w[at:]]))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    (index,) = _indexes(bench, 0.6)
+    (t,) = C.chunks([pa.RecordBatch.from_pydict({"text": pa.array([x for _, x in rows])})])
+    wh, first = decontamination._hashes(t.data, t.off)
+    got = {(d, s, index.ids[i]): x for d, s, i, x in zip(*(v.tolist() for v in index.retrieve(wh, first)))}
+    expected = by_exhaustive_bm25(rows, items, 0.6)
+    # The last half passage has no words of its own where the one before ends with the text.
+    assert set(got) == set(expected) and len(got) > 20
+    assert all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
+def test_parts_of_the_benchmark_change_no_score(spark, monkeypatch):
+    rng = random.Random(18)
+    items = [(f"item {i}", " ".join(words(rng, rng.randrange(10, 40), 300)) + ". " + " ".join(words(rng, 6, 300)) + ".") for i in range(40)]
+    rows = [(i, " ".join(words(rng, 100, 300)) + " " + items[i][1]) for i in range(30)]
+    w = items[30][1].split(" ")
+    w[-3] = "changed"  # one word of a short answer
+    rows.append((30, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = [sorted(map(tuple, contamination(table(spark, rows), bench).collect()))]
+    monkeypatch.setattr(decontamination, "MAX_INDEX_BYTES", 4000)
+    found.append(sorted(map(tuple, contamination(table(spark, rows), bench).collect())))
+    assert [r[:3] for r in found[0]] == [r[:3] for r in found[1]] and {(r[0], r[1]) for r in found[0]} >= {(i, items[i][0]) for i in range(31)}
+    assert [r[3:] for r in found[0]] == [r[3:] for r in found[1]]
+
+
+def test_many_languages(spark):
+    rng = random.Random(19)
+    stems = [[f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{k}q" for k in "xyz"] for i in range(300)]
+    rows = [(i, " ".join(rng.choice(stems[i % 300]) for _ in range(30)), f"l{i % 300}") for i in range(1200)]
+    found = identify_language(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).where("held_out").collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] % 300}" for r in found]) > 0.9
+
+
+def test_decoding_equals_a_loop():
+    rng = np.random.default_rng(20)
+    model = LanguageModel(list("abcde"), rng.integers(0, 50, (5, 1 << 15)).astype(float))
+    margins = rng.normal(0, 1, (30, len(model.side)))
+    for row, loss in zip(margins, model.decode(margins)):
+        for code, x in zip(model.code, loss):
+            assert abs(x - sum(w * np.log1p(np.exp(-4.0 * (1 if bit else -1) * m)) for bit, w, m in zip(code, model.side, row))) < 1e-9
+
+
+def test_bins_close_at_production_size():
+    rng = np.random.default_rng(21)
+    lengths = np.minimum(4096, rng.lognormal(6.5, 1, 5000).astype(int) + 1)
+    lengths = lengths[buffered(lengths, LOOK_AHEAD * 64)].tolist()
+    bins, offsets = best_fit(lengths, 4096, 64)
+    last = {b: i for i, b in enumerate(bins)}
+    first = {b: i for i, b in reversed(list(enumerate(bins)))}
+    used = np.bincount(bins, weights=lengths)
+    for i in range(0, len(bins), 50):  # bins in use on both sides of a moment are open then
+        assert sum(first[b] <= i < last[b] for b in last) <= 64
+    assert best_fit(lengths, 4096, 1 << 30)[0] != bins and used.max() <= 4096
+    assert max(bins) + 1 <= 1.01 * -(-sum(lengths) // 4096)
+
+
 def test_chroma_search(spark):
     rng = np.random.default_rng(13)
     base = rng.normal(0, 0.25, (40, 64))
