@@ -16,8 +16,10 @@ def density(n_edges: Column, n_nodes: Column) -> Column:
     return n_edges.cast("double") / (n_nodes * (n_nodes - 1))
 
 
-def four_places(value: Column) -> Column:
-    return F.format_number(value, 4)
+def vector_text(values: Column) -> Column:
+    """An array of numbers as one line: the first as it is, the others with four places."""
+    rest = F.transform(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), lambda v: F.format_string("%.4f", v))
+    return F.concat_ws(" ", F.concat(F.transform(F.slice(values, 1, 1), lambda v: v.cast("string")), rest))
 
 
 def granule(value: Column, size: int | float) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fissure.operators.tables import with_place
@@ -23,6 +23,11 @@ def sort_values(rows: DataFrame, column: str) -> DataFrame:
     return with_place(rows.select(column), [column]).select("pos", column)
 
 
+def sort_by(rows: DataFrame, column: str, *order: Column) -> DataFrame:
+    """(pos, value) in the order of the given expressions, ties by value: a comparator is what they say."""
+    return with_place(rows.select(column), [*order, F.col(column)]).select("pos", column)
+
+
 def equal_range(sorted_rows: DataFrame, key: str, x: int, column: str) -> DataFrame:
     return sorted_rows.where(F.col(key) == x).select(column)
 

@@ -2,9 +2,10 @@
 
 A cracked table keeps a driver-side catalogue of boundaries on one column and a piece of data between
 neighbouring boundaries.  Selecting x splits the piece around x into what is below, equal and above, and
-remembers both boundaries, also where x is absent; a later select of x reads its piece alone.  Splits are
-lazy filters; a piece that was split ``DEPTH`` times is checkpointed.  Batches of keys crack once, at
-quantiles of the keys.
+remembers both boundaries, also where x is absent.  A piece is kept when it is first read, so a later select
+within it reads that piece and not the table; a piece that was split goes once both its parts were asked for.
+A piece that was split ``DEPTH`` times is checkpointed.  Batches of keys crack once, at quantiles of the keys:
+rows are dealt by piece and kept, and a batch reads the pieces that hold its keys.
 
 Policies are representations of one bag and answer alike:
 
@@ -19,10 +20,9 @@ from __future__ import annotations
 from bisect import bisect_right
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fissure.functions.scalars import granule
 from fissure.operators import runs, tables
 from fissure.operators.index import CrackerIndex
 from fissure.plans.lineage import cut
@@ -61,6 +61,8 @@ class CrackedTable:
                     entries = runs.split_runs(entries, LONGEST_RUN)
             self._entries = cut(entries)
         self._key = "value" if self._entries is not None else on
+        self._kept_pieces: list[DataFrame] = []
+        self._parents: dict[int, list] = {}
         self._pieces: list[tuple[DataFrame, int]] = [(self._entries if self._entries is not None else self._rows, 0)]
 
     def append(self, more: DataFrame) -> None:
@@ -77,9 +79,26 @@ class CrackedTable:
         if depth >= DEPTH:
             piece, depth = cut(piece), 0
         column = F.col(self._key)
-        self._pieces[i : i + 1] = [(piece.where(column < key), depth + 1), (piece.where(column >= key), depth + 1)]
+        parts = [self._keep(piece.where(column < key)), self._keep(piece.where(column >= key))]
+        for part in parts:
+            self._parents[id(part)] = [piece, {id(p) for p in parts}]
+        self._pieces[i : i + 1] = [(part, depth + 1) for part in parts]
         self._bounds.insert(i, key)
 
+    def _keep(self, piece: DataFrame) -> DataFrame:
+        self._kept_pieces.append(piece.persist(StorageLevel.MEMORY_AND_DISK))
+        return piece
+
+    def _asked(self, piece: DataFrame) -> DataFrame:
+        """Notes that a piece is read; what it was cut from is no longer needed when its other part was, too."""
+        if found := self._parents.pop(id(piece), None):
+            parent, waiting = found
+            waiting.discard(id(piece))
+            if any(p is parent for p in self._kept_pieces) and not any(v[0] is parent for v in self._parents.values()):
+                self._kept_pieces = [p for p in self._kept_pieces if p is not parent]
+                parent.unpersist()
+        return piece
+
     def _piece(self, x: int) -> DataFrame:
         """The rows equal to x."""
         if self.policy == "scan":
@@ -90,7 +109,7 @@ class CrackedTable:
         else:
             self._split(x)
             self._split(x + 1)
-        piece = self._pieces[bisect_right(self._bounds, x)][0]
+        piece = self._asked(self._pieces[bisect_right(self._bounds, x)][0])
         return piece if known and self.policy != "plain" else piece.where(F.col(self._key) == x)
 
     def _values(self, piece: DataFrame, columns: list[str]) -> DataFrame:
@@ -113,7 +132,7 @@ class CrackedTable:
             return self._values(self._pieces[0][0].where((key >= first) & (key < after)), columns)
         self._split(first)
         self._split(after)
-        inside = [p for p, _ in self._pieces[bisect_right(self._bounds, first) : bisect_right(self._bounds, after)]]
+        inside = [self._asked(p) for p, _ in self._pieces[bisect_right(self._bounds, first) : bisect_right(self._bounds, after)]]
         out = inside[0]
         for piece in inside[1:]:
             out = out.unionByName(piece)
@@ -125,12 +144,18 @@ class CrackedTable:
         return self.select_range(low, low + size - 1, column)
 
     def select_many(self, keys: DataFrame, column: str) -> DataFrame:
-        """(key, column) for a table of keys: one join; adaptive execution broadcasts keys if they are few."""
+        """(key, column) for a table of keys: one join with the pieces that hold a key; adaptive execution
+        broadcasts keys if they are few."""
         wanted = keys.select(F.col(keys.columns[0]).alias("_key")).distinct()
+        if self._kept is not None and len(self._bounds):
+            self.touched = sorted(r[0] for r in wanted.select(self._number(F.col("_key"))).distinct().collect())  # at most one number for each piece
+            source = self._kept.where(F.col("_piece").isin(self.touched)).drop("_piece")
+        else:
+            source = self._entries if self._entries is not None else self._rows
+        found = source.join(wanted, source[self._key] == wanted._key)
         if self._entries is None:
-            found = self._rows.join(wanted, self._rows[self.on] == wanted._key)
             return found.select(F.col("_key").alias("key"), column)
-        found = self._entries.join(wanted, self._entries.value == wanted._key).select(F.col("value").alias("key"), "start", "len")
+        found = found.select(F.col("value").alias("key"), "start", "len")
         return runs.positions(found, "start").join(self._base.select("pos", column), "pos").select("key", column)
 
     def crack_at_quantiles(self, keys: DataFrame, pieces: int = 8) -> None:
@@ -139,18 +164,25 @@ class CrackedTable:
         found = keys.approxQuantile(keys.columns[0], [i / pieces for i in range(1, pieces)], 0.01)
         bounds = sorted({*self._bounds, *map(int, found)})
         source = self._entries if self._entries is not None else self._rows
-        number = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(self._key))) if bounds else F.lit(0)
         self.close()
-        self._kept = source.withColumn("_piece", number).repartition(len(bounds) + 1, "_piece").persist(StorageLevel.MEMORY_AND_DISK)
+        self._bounds = bounds
+        dealt = source.withColumn("_piece", self._number(F.col(self._key))).repartition(len(bounds) + 1, "_piece").sortWithinPartitions("_piece")
+        self._kept = dealt.persist(StorageLevel.MEMORY_AND_DISK)
         if self._entries is not None:
             self._entries = self._kept.drop("_piece")
         else:
             self._rows = self._kept.drop("_piece")
-        self._bounds = bounds
         self._pieces = [(self._kept.where(F.col("_piece") == i).drop("_piece"), 0) for i in range(len(bounds) + 1)]
 
+    def _number(self, value: Column) -> Column:
+        """The piece that holds a value."""
+        return sum(((value >= b).cast("int") for b in self._bounds), F.lit(0)) if self._bounds else F.lit(0)
+
     def close(self) -> None:
-        """Drops what a batch of cracks keeps."""
+        """Drops the pieces that are kept."""
+        for piece in self._kept_pieces:
+            piece.unpersist()
+        self._kept_pieces, self._parents = [], {}
         if self._kept is not None:
             self._kept.unpersist()
             self._kept = None
@@ -182,7 +214,3 @@ def crack_three_counts(rows: DataFrame, column: str, keys: list[int]) -> DataFra
         )
     )
     return rows.agg(*sums).select(F.inline(parts))
-
-
-def granular_equal(rows: DataFrame, column: str, x: int, size: int) -> DataFrame:
-    return rows.where(granule(F.col(column), size) == x // size)

@@ -59,6 +59,32 @@ def add_column(rows: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return rows.join(values.select("pos", name), "pos")
 
 
+def declare(rows: DataFrame, **types: str) -> DataFrame:
+    """An empty table's columns and new ones of the given types; a name that is there already is an error."""
+    if again := sorted(set(types) & set(rows.columns)):
+        raise ValueError(f"columns {again} are there already")
+    if not rows.isEmpty():
+        raise ValueError("columns can be declared for an empty table only")
+    return rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in types.items()))
+
+
+def insert(rows: DataFrame, more: DataFrame | None = None, new: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Appends rows and adds columns at once.  ``rows`` and ``more`` have pos (``more`` from 0 on); each new column
+    is a table (pos, value) as long as all rows together, or as ``rows`` if nothing is appended."""
+    n, m = rows.count(), more.count() if more is not None else 0
+    if more is not None:
+        if set(more.columns) != set(rows.columns):
+            raise ValueError(f"insert needs the columns {rows.columns}, got {more.columns}")
+        rows = rows.unionByName(more.withColumn("pos", F.col("pos") + n))
+    for name, values in (new or {}).items():
+        if name in rows.columns:
+            raise ValueError(f"column {name} is there already")
+        if (k := values.count()) != n + m:
+            raise ValueError(f"new column {name} needs {n + m} values, got {k}")
+        rows = rows.join(values.select("pos", F.col("value").alias(name)), "pos")
+    return rows
+
+
 def gather(rows: DataFrame, wanted: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows at the wanted positions (ord, pos), in the order of ord, repeats kept."""
     columns = list(columns or (c for c in rows.columns if c != "pos"))

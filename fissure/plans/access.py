@@ -20,7 +20,7 @@ class AccessPath:
         if variant not in VARIANTS:
             raise ValueError(f"no variant {variant}")
         self.variant, self.key, self.other = variant, key, "dst" if key == "src" else "src"
-        self.table = None
+        self.table, self._size = None, None
         if variant == "unoptimised":
             self._edges = edges
         elif variant == "preclustered":
@@ -52,6 +52,12 @@ class AccessPath:
             return self._edges.select(self.key, F.explode(f"{self.other}s").alias(self.other)).select("src", "dst")
         return self._edges.select("src", "dst")
 
+    def size(self) -> int:
+        """How many edges there are, counted once; a layout that is kept is made then."""
+        if self._size is None:
+            self._size = self.edges().count()
+        return self._size
+
     def close(self) -> None:
         if self.table is not None:
             self.table.close()

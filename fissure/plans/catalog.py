@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fissure.functions.scalars import density, runtime_seconds
+from fissure.functions.scalars import density, runtime_seconds, vector_text
 from fissure.operators import clustering, cracking, index, runs, tables
 from fissure.plans import access, ranking, results, traversal
-from fissure.plans.lineage import shared_dir
+from fissure.plans.lineage import cut, shared_dir
 from fissure.sources import files, generators, graphs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -325,7 +325,7 @@ def bfs_multi(s, d):
 
 @query("bfs_query_count", _with("e", "SELECT count(*) AS selects FROM r", f"r(node) AS ({STARTS})"))
 def bfs_query_count(s, d):
-    return traversal.bfs_reach(graphs.co_edges(s, d), 1, "recognitive").agg(F.count("*").alias("selects"))
+    return s.createDataFrame([(traversal.bfs_until(graphs.co_edges(s, d), 1, 3600.0, "recognitive"),)], "selects bigint")
 
 
 @query(
@@ -384,7 +384,20 @@ for _variant in access.VARIANTS:
         )
 
 
-@query("pagerank_epsilon", None)
+EPSILON_UPDATES = 51
+EPSILON = _ranked(
+    "e v",
+    _chain("v", "e", "(SELECT count(*) FROM v) + 1", EPSILON_UPDATES)
+    + ", deltas AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, sqrt(sum(power(a.r - b.r, 2))) AS delta FROM r{k - 1} a JOIN r{k} b USING (id)" for k in range(1, EPSILON_UPDATES + 1))
+    + f"), done AS (SELECT coalesce(min(k) FILTER (delta < 0.001), {EPSILON_UPDATES}) AS k FROM deltas), every AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, id, r FROM r{k}" for k in range(1, EPSILON_UPDATES + 1))
+    + ")",
+    "SELECT id, round(r, 10) AS rank FROM every JOIN done USING (k)",
+)
+
+
+@query("pagerank_epsilon", EPSILON)
 def pagerank_epsilon(s, d):
     return _rounded(ranking.pagerank(graphs.co_vertices(s, d), graphs.co_edges(s, d), 50, 0.001))
 
@@ -395,8 +408,8 @@ def pagerank_epsilon(s, d):
 )
 def rank_delta(s, d):
     v = graphs.co_vertices(s, d)
-    steps = ranking.rank_steps(v, graphs.co_edges(s, d), UPDATES, v.count() + 1)
-    return ranking.rank_delta(steps[-2], steps[-1]).select(F.round("delta", 10).alias("delta"))
+    steps = ranking.last_steps(v, graphs.co_edges(s, d), UPDATES, v.count() + 1)
+    return ranking.rank_delta(*steps).select(F.round("delta", 10).alias("delta"))
 
 
 @query("personrank_agree", "SELECT * FROM (VALUES " + ", ".join(f"('{v}', true)" for v in access.VARIANTS if v not in ("preclustered", "preclustered_rle")) + ") t(variant, agrees)")
@@ -550,6 +563,90 @@ def gen_graph_props(s, d):
     return _graph_props(generators.random_graph(s, 20, 5, seed=7), 0)
 
 
-@query("shuffle_pairs", _with("e", "SELECT src, dst FROM e"))
+@query("shuffle_pairs", _with("e", "SELECT row_number() OVER (ORDER BY src, dst) - 1 AS place, src, dst, true AS moved FROM e"))
 def shuffle_pairs(s, d):
-    return generators.shuffled_pairs(graphs.co_edges(s, d))
+    """Places are dealt anew, each once, and few rows keep theirs; the bag is as it was."""
+    e = graphs.co_edges(s, d)
+    dealt = generators.shuffled_pairs(e, 5)
+    stays = tables.with_pos(e).join(dealt, ["pos", "src", "dst"]).agg(F.count("*").alias("stays"))
+    places = dealt.agg(F.count_distinct("pos").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("m"))
+    good = (F.col("stays") < 100) & (F.col("n") == F.col("m")) & (F.col("lo") == 0) & (F.col("hi") == F.col("m") - 1)
+    moved = stays.crossJoin(places).select(good.alias("moved"))  # one row each
+    return tables.with_place(dealt.select("src", "dst"), ["src", "dst"], "place").select("place", "src", "dst").crossJoin(F.broadcast(moved))
+
+
+@query("deal", "SELECT 1000::BIGINT AS n, 1000::BIGINT AS places, 0::BIGINT AS least, 999::BIGINT AS most, 499500::BIGINT AS total, true AS shuffled, true AS seeded")
+def deal(s, d):
+    one, other = generators.deal(s, 1000, 1), generators.deal(s, 1000, 2).withColumnRenamed("value", "again")
+    both = one.join(other, "pos")
+    return both.agg(
+        F.count("*").alias("n"), F.count_distinct("value").alias("places"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.sum("value").alias("total"), (F.count_if(F.col("pos") == F.col("value")) < 50).alias("shuffled"),
+        (F.count_if(F.col("value") == F.col("again")) < 50).alias("seeded"),
+    )
+
+
+@query(
+    "table_insert",
+    _with("ep", "SELECT pos, src, dst, pos * 10 AS w FROM ep UNION ALL SELECT (SELECT count(*) FROM ep) + pos, dst, src, ((SELECT count(*) FROM ep) + pos) * 10 FROM ep WHERE pos < 3"),
+)
+def table_insert(s, d):
+    rows = tables.with_pos(graphs.co_edges(s, d))
+    more = rows.where("pos < 3").select("pos", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    values = s.range(rows.count() + 3).select(F.col("id").alias("pos"), (F.col("id") * 10).alias("value"))
+    return tables.insert(rows, more, {"w": values}).select("pos", "src", "dst", "w")
+
+
+@query("table_declare", _with("e", "SELECT src, dst, NULL::BIGINT AS w FROM e"))
+def table_declare(s, d):
+    return tables.append(tables.declare(tables.empty(s), w="bigint"), graphs.co_edges(s, d).withColumn("w", F.lit(None).cast("bigint")))
+
+
+@query("sort_by_comparator", _with("e", "SELECT row_number() OVER (ORDER BY src % 10 DESC, src) - 1 AS pos, src FROM e"))
+def sort_by_comparator(s, d):
+    return clustering.sort_by(graphs.co_edges(s, d), "src", (F.col("src") % 10).desc())
+
+
+@query("vector_text", "SELECT x AS line FROM (VALUES ('1.25 0.3333 2.0000'), ('7.0'), ('')) t(x)")
+def vector_text_lines(s, d):
+    rows = s.createDataFrame([([1.25, 1 / 3, 2.0],), ([7.0],), ([],)], "v array<double>")
+    return rows.select(vector_text(F.col("v")).alias("line"))
+
+
+@query("results_load", "SELECT 15.0::DOUBLE AS nodes, 6.375::DOUBLE AS unoptimised")
+def results_load(s, d):
+    path = _folder(s, "kept")
+    results.parse_runtimes(_bench_rows(s)).write.parquet(f"{path}/value")
+    return results.mean_of(results.load(s, path, "value")["value"], "nodes", "unoptimised")
+
+
+@query("bench_reorder", "SELECT 0.5::DOUBLE AS d, n AS v, 2 * n - 2 AS e FROM (VALUES (10::BIGINT), (20)) t(n)")
+def bench_reorder(s, d):
+    rows = _bench_rows(s).select("nodes", "edges", "density")
+    merged = results.merge(rows, rows.withColumn("extra", F.lit(1)), ["nodes", "edges", "density"], ["density", "nodes", "edges"])
+    return results.parse_runtimes(merged, ["d", "v", "e"])
+
+
+@query("select_pruned", _with("e", "SELECT src AS key, dst, 1 AS touched FROM e WHERE src IN (1, 2)"))
+def select_pruned(s, d):
+    """A batch of low keys on a table cracked at quantiles reads one piece of it."""
+    e = graphs.co_edges(s, d)
+    table = cracking.CrackedTable(e, "src", "recognitive")
+    table.crack_at_quantiles(e.select("src"))
+    found = cut(table.select_many(_numbers(s, [1, 2], "node"), "dst")).withColumn("touched", F.lit(len(table.touched)))
+    table.close()
+    return found
+
+
+@query(
+    "uniform_tighten",
+    "SELECT 100000::BIGINT AS n, true AS spread, true AS narrow",
+)
+def uniform_tighten(s, d):
+    """A select on a uniform column: its piece is about the asked share, and nothing else."""
+    rows = generators.uniform_column(s, 100_000, 0.01, seed=3)
+    table = cracking.CrackedTable(rows, "value", "recognitive")
+    found = table.select(1).agg(F.count("*").alias("k"), F.min("value").alias("lo"), F.max("value").alias("hi")).first()
+    table.close()
+    values = rows.agg(F.count("*").alias("n"), (F.count_distinct("value") == 100).alias("spread"))
+    return values.withColumn("narrow", F.lit(found["lo"] == found["hi"] == 1 and 800 < found["k"] < 1200))

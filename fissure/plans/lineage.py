@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULT = "file:///tmp/checkpoints/fissure"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local default only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir.  Where none is set, one machine has a folder of its own; a cluster must name one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = LOCAL_DEFAULT
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where or LOCAL_DEFAULT)
-    return where or LOCAL_DEFAULT
+        spark.sparkContext.setCheckpointDir(where)
+    return where
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Link analysis: synchronous PageRank over explicit vertices.
 
-Edges meet their source's out-degree once; that table is partitioned by source and kept.  A step is one
-join, one aggregation and one left join, and ends in a checkpoint.  Mass of vertices without out-edges
-is lost, parallel edges count, edges with an end outside the vertices are ignored.
+Graphs of bounded size run all steps in one task (``in_task``).  Larger ones take a plan for each step: edges
+meet their source's out-degree once and are kept, dealt by source, like the vertices; a step is one join, one
+aggregation and one left join, and every ``CUT`` steps end in a checkpoint.  Mass of vertices without
+out-edges is lost, parallel edges count, edges with an end outside the vertices are ignored.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fissure.plans import in_task
 from fissure.plans.access import AccessPath
 from fissure.plans.lineage import cut
 
 DAMPING = 0.85
+CUT = 4
 
 
 def out_degree(edges: DataFrame) -> DataFrame:
@@ -43,29 +46,52 @@ def rank_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.agg(F.sqrt(F.sum(F.pow(F.col("a") - F.col("b"), 2))).alias("delta"))
 
 
-def rank_steps(
-    vertices: DataFrame, edges: DataFrame, updates: int, base_n: int | None = None, variant: str = "unoptimised", epsilon: float | None = None
-) -> list[DataFrame]:
-    """Rank tables (id, rank) from the initial one on; ``base_n`` divides the base share (default: |V|).
+def last_steps(
+    vertices: DataFrame,
+    edges: DataFrame,
+    updates: int,
+    base_n: int | None = None,
+    variant: str = "unoptimised",
+    epsilon: float | None = None,
+    path: AccessPath | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The last two rank tables (id, rank); ``base_n`` divides the base share (default: |V|).
 
-    With ``epsilon``, stops after the step that moved less than it.
+    With ``epsilon``, stops after the step that moved less than it.  Edges are read from ``path``, or from a
+    path of the variant that is made for this call.
     """
-    vertices = vertices.select("id").distinct()
-    path = AccessPath(edges, variant, key="dst")
+    vertices = vertices.select("id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    own = path is None
+    path = path or AccessPath(edges, variant, key="dst")
     n = vertices.count()
     base = (1 - DAMPING) / (base_n or max(n, 1))
-    known = vertices.withColumnRenamed("id", "src")
-    links = path.edges().join(known, "src", "left_semi")
-    links = links.join(out_degree(links), "src").repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    steps = [initial_ranks(vertices, max(n, 1))]
-    for _ in range(updates):
-        got = vertices.join(inherit(links, steps[-1]), "id", "left")
-        steps.append(cut(got.select("id", (F.lit(base) + DAMPING * F.coalesce("inherited", F.lit(0.0))).alias("rank"))))
-        if epsilon is not None and (rank_delta(steps[-2], steps[-1]).first()["delta"] or 0.0) < epsilon:
+    rows = path.edges()
+    if in_task.fits(path.size()):
+        out = in_task.run(rows, vertices, in_task.ranks(updates, DAMPING, base, epsilon), "step int, id bigint, rank double")
+        out = cut(out)
+        last = out.agg(F.max("step")).first()[0] or 0
+        steps = tuple(out.where(F.col("step") == k).select("id", "rank") for k in (max(0, last - 1), last))
+    else:
+        steps = _distributed(vertices, rows, n, updates, base, epsilon)
+    vertices.unpersist()
+    if own:
+        path.close()
+    return steps
+
+
+def _distributed(vertices: DataFrame, edges: DataFrame, n: int, updates: int, base: float, epsilon: float | None) -> tuple[DataFrame, DataFrame]:
+    links = edges.join(vertices.withColumnRenamed("id", "src"), "src", "left_semi")
+    links = links.join(out_degree(links), "src").persist(StorageLevel.MEMORY_AND_DISK)
+    before = now = initial_ranks(vertices, max(n, 1))
+    for done in range(1, updates + 1):
+        got = vertices.join(inherit(links, now), "id", "left")
+        before, now = now, got.select("id", (F.lit(base) + DAMPING * F.coalesce("inherited", F.lit(0.0))).alias("rank"))
+        if epsilon is not None or done % CUT == 0 or done >= updates - 1:
+            now = cut(now)
+        if epsilon is not None and (rank_delta(before, now).first()["delta"] or 0.0) < epsilon:
             break
     links.unpersist()
-    path.close()
-    return steps
+    return before, now
 
 
 def pagerank(
@@ -73,9 +99,9 @@ def pagerank(
 ) -> DataFrame:
     """At most ``max_iterations`` + 1 updates; the base share is divided by |V| + 1 unless ``base_n`` is given."""
     n = base_n or vertices.select("id").distinct().count() + 1
-    return rank_steps(vertices, edges, max_iterations + 1, n, variant, epsilon)[-1]
+    return last_steps(vertices, edges, max_iterations + 1, n, variant, epsilon)[-1]
 
 
-def personrank(vertices: DataFrame, edges: DataFrame, max_iterations: int, variant: str = "unoptimised") -> DataFrame:
+def personrank(vertices: DataFrame, edges: DataFrame, max_iterations: int, variant: str = "unoptimised", path: AccessPath | None = None) -> DataFrame:
     """``max_iterations`` + 1 updates over explicit ids; the base share is divided by |V|."""
-    return rank_steps(vertices, edges, max_iterations + 1, None, variant)[-1]
+    return last_steps(vertices, edges, max_iterations + 1, None, variant, None, path)[-1]

@@ -31,6 +31,16 @@ def merge(left: DataFrame, right: DataFrame, keys: list[str], order: list[str] |
     return picked.select(*(order or picked.columns))
 
 
+def load(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    """Result tables that were kept under their names."""
+    return {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in names}
+
+
+def mean_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row with the mean of each column."""
+    return rows.agg(*(F.avg(c).alias(c) for c in columns))
+
+
 def drop_columns(rows: DataFrame, *names: str) -> DataFrame:
     return rows.drop(*names)
 

@@ -1,4 +1,8 @@
-"""Breadth-first search by levels: one join per level, checkpointed; a path of any access variant."""
+"""Breadth-first search by levels over a path of any access variant.
+
+Paths without a cracked table run in one task if the graph is of bounded size (``in_task``).  All others take
+one join per level, checkpointed; a cracked path reads the pieces that hold the frontier's keys.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fissure.plans import in_task
 from fissure.plans.access import AccessPath
 from fissure.plans.lineage import cut
 
@@ -21,10 +26,26 @@ def _start(spark: SparkSession, starts: list[int]) -> DataFrame:
     return spark.createDataFrame([(s, 0) for s in starts], "node bigint, level int")
 
 
-def bfs_levels(edges: DataFrame, start: int, variant: str = "unoptimised", max_levels: int | None = None) -> DataFrame:
+def _in_task(path: AccessPath, starts: list[int]) -> DataFrame | None:
+    """(start, node, level), if the path is a plain one of a graph that fits a task."""
+    if path.table is not None or not in_task.fits(path.size()):
+        return None
+    rows = path.edges()
+    none = rows.sparkSession.createDataFrame([], "id bigint")
+    found = cut(in_task.run(rows, none, in_task.levels(starts), "start bigint, node bigint, level int"))
+    path.close()
+    if path.size():
+        return found
+    return rows.sparkSession.createDataFrame([(s, s, 0) for s in starts], found.schema)  # no group, so no task
+
+
+def bfs_levels(edges: DataFrame, start: int, variant: str = "preclustered", max_levels: int | None = None) -> DataFrame:
     """(node, level) of all nodes reachable from start, itself at level 0."""
     spark = edges.sparkSession
     path = AccessPath(edges, variant)
+    found = _in_task(path, [start])
+    if found is not None:
+        return found.where(F.lit(max_levels is None) | (F.col("level") <= (max_levels or 0))).select("node", "level")
     visited = frontier = _start(spark, [start])
     level = 0
     while max_levels is None or level < max_levels:
@@ -41,14 +62,17 @@ def bfs_levels(edges: DataFrame, start: int, variant: str = "unoptimised", max_l
     return visited
 
 
-def bfs_reach(edges: DataFrame, start: int, variant: str = "unoptimised") -> DataFrame:
+def bfs_reach(edges: DataFrame, start: int, variant: str = "preclustered") -> DataFrame:
     return bfs_levels(edges, start, variant).select("node")
 
 
-def bfs_multi(edges: DataFrame, starts: list[int], variant: str = "unoptimised") -> DataFrame:
+def bfs_multi(edges: DataFrame, starts: list[int], variant: str = "preclustered") -> DataFrame:
     """(start, node) reached from each start, all starts in one dataflow."""
     spark = edges.sparkSession
     path = AccessPath(edges, variant)
+    found = _in_task(path, sorted(set(starts)))
+    if found is not None:
+        return found.select("start", "node")
     visited = frontier = spark.createDataFrame([(s, s) for s in sorted(set(starts))], "start bigint, node bigint")
     level = 0
     while True:

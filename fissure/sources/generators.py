@@ -8,6 +8,8 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fissure.operators.tables import with_place
+
 EDGE = "src bigint, dst bigint"
 
 
@@ -57,6 +59,11 @@ def uniform_column(spark: SparkSession, rows: int, selectivity: float, seed: int
     return spark.range(rows).select(F.floor(F.rand(seed) * F.ceil(F.lit(1.0 / selectivity))).cast("bigint").alias("value"))
 
 
+def deal(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """(pos, value): a permutation of 0 to n - 1, set by the seed."""
+    return with_place(spark.range(n).select(F.col("id").alias("value")), [F.xxhash64(F.col("value"), F.lit(seed)), F.col("value")]).select("pos", "value")
+
+
 def shuffled_pairs(edges: DataFrame, seed: int = 0) -> DataFrame:
-    """The same rows in an order set by their hash."""
-    return edges.orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst")
+    """(pos, src, dst): the same rows, dealt places in an order that the seed sets; equal rows keep apart."""
+    return with_place(edges.select("src", "dst"), [F.xxhash64("src", "dst", F.lit(seed)), "src", "dst"]).select("pos", "src", "dst")

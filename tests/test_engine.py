@@ -37,7 +37,7 @@ def test_pagerank_of_the_example(spark, variant):
 
 def test_pagerank_counts_updates(spark):
     v, e = numbers(spark, range(1, 12)), edges_of(spark, PAGES)
-    by_steps = ranking.rank_steps(v, e, 3, 12)[-1].orderBy("id").collect()
+    by_steps = ranking.last_steps(v, e, 3, 12)[-1].orderBy("id").collect()
     assert ranking.pagerank(v, e, 2).orderBy("id").collect() == by_steps
 
 
@@ -57,6 +57,102 @@ def test_bfs_reaches_every_tree_node(spark, variant, n):
     assert column(traversal.bfs_reach(tree, 1, variant), "node") == list(range(1, n + 1))
 
 
+# Start and level sizes of six regression trees.
+TREES = {
+    "l_side_i_longer": (7, [1, 1, 5, 5, 8, 4, 2, 4]),
+    "h_side_i_longer_overlap": (9, [1, 1, 2, 4, 3, 7, 3, 5, 4]),
+    "h_side_h_longer": (25, [1, 1, 6, 6, 6, 8, 2]),
+    "h_side_i_longer": (33, [1, 1, 5, 17, 14, 9, 3]),
+    "h_side_i_longer_overlap_2": (12, [1, 1, 7, 5, 4, 7, 4, 1]),
+    "l_side_i_longer_tessellating": (1, [1, 1, 3, 2, 16, 6, 1]),
+}
+
+
+def tree_of(start, sizes):
+    """A tree over 1..n, edges in both directions, whose levels from start have the given sizes."""
+    n = sum(sizes)
+    ids = [start, *(i for i in range(n, 0, -1) if i != start)]
+    levels, rows = [], []
+    for size in sizes:
+        levels.append([ids.pop(0) for _ in range(size)])
+        if len(levels) > 1:
+            for i, node in enumerate(levels[-1]):
+                to = levels[-2][i * i % len(levels[-2])]
+                rows += [(node, to), (to, node)]
+    return rows
+
+
+@pytest.mark.parametrize("variant", access.VARIANTS)
+def test_regression_trees(spark, variant):
+    for start, sizes in TREES.values():
+        found = traversal.bfs_levels(edges_of(spark, tree_of(start, sizes)), start, variant).collect()
+        assert sorted(r["node"] for r in found) == list(range(1, sum(sizes) + 1))
+        assert [sum(r["level"] == k for r in found) for k in range(len(sizes))] == sizes
+
+
+def test_large_graphs_take_the_distributed_plans(spark, monkeypatch):
+    tree, graph = generators.random_tree(spark, 60, seed=1), generators.random_graph(spark, 40, 3, seed=2)
+    v = numbers(spark, range(38))
+
+    def results_():
+        return [
+            sorted(map(tuple, traversal.bfs_levels(tree, 3).collect())),
+            sorted(map(tuple, traversal.bfs_levels(tree, 3, "preclustered_rle", 2).collect())),
+            sorted(map(tuple, traversal.bfs_multi(graph, [0, 7, 99]).collect())),
+            *([(r["id"], round(r["rank"], 12)) for r in ranking.pagerank(v, graph, 9, eps, name).orderBy("id").collect()] for eps in (None, 0.01) for name in ("unoptimised", "compactive")),
+        ]
+
+    in_one = results_()
+    monkeypatch.setattr("fissure.plans.in_task.EDGES", -1)
+    assert results_() == in_one
+
+
+def test_a_second_select_reads_the_piece_that_the_first_one_left(spark):
+    rows = spark.range(10000).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b")).coalesce(2)
+    for policy in ("plain", "recognitive"):
+        t = cracking.CrackedTable(rows, "a", policy)
+        assert column(t.select(5000, "b"), "b") == [10000]
+        assert column(t.select(7000, "b"), "b") == [14000] and column(t.select(7500, "b"), "b") == [15000]
+        plan = t.select(7400, "b")
+        assert column(plan, "b") == [14800]
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" in text
+        held = {(b, p.count()) for (p, _), b in zip(t._pieces, [0, *t._bounds])}
+        assert (7001, 399) in held and (7401, 99) in held and (5001, 1999) in held
+        t.close()
+        assert not t._kept_pieces
+
+
+def test_batches_read_the_pieces_of_their_keys(spark):
+    rows = spark.range(8000).select((F.col("id") % 800).alias("a"), F.col("id").alias("b"))
+    for policy in ("recognitive", "compactive"):
+        t = cracking.CrackedTable(rows, "a", policy)
+        t.crack_at_quantiles(rows.select("a"))
+        keys = numbers(spark, [3, 5, 790], "node")
+        found = t.select_many(keys, "b")
+        assert column(found, "b") == sorted(x for k in (3, 5, 790) for x in range(k, 8000, 800))
+        assert len(t.touched) == 2 and len(t._bounds) == 7
+        t.close()
+
+
+def test_insert_and_declare(spark):
+    rows = spark.createDataFrame([(0, 1), (1, 2)], "pos bigint, a bigint")
+    more = spark.createDataFrame([(0, 3)], "pos bigint, a bigint")
+    three = spark.createDataFrame([(i, i * 5) for i in range(3)], "pos bigint, value bigint")
+    got = tables.insert(rows, more, {"b": three}).orderBy("pos").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 0), (1, 2, 5), (2, 3, 10)]
+    assert tables.insert(rows, more).count() == 3
+    assert tables.insert(rows, None, {"b": three.where("pos < 2")}).count() == 2
+    for bad in ((rows, more, {"b": three.where("pos < 2")}), (rows, None, {"b": three}), (rows, more, {"a": three}), (rows, more.withColumnRenamed("a", "c"), None)):
+        with pytest.raises(ValueError):
+            tables.insert(*bad)
+    assert tables.declare(tables.empty(spark), w="double").columns == ["src", "dst", "w"]
+    with pytest.raises(ValueError):
+        tables.declare(tables.empty(spark), src="bigint")
+    with pytest.raises(ValueError):
+        tables.declare(rows, w="bigint")
+
+
 def test_bfs_edge_cases(spark):
     e = edges_of(spark, [(1, 2), (1, 2), (2, 2), (0, 5), (9, 1)])
     levels = {r["node"]: r["level"] for r in traversal.bfs_levels(e, 9).collect()}
