@@ -199,7 +199,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, block: int | None = No
     )
     runs = (
         docs.join(hits, "rid")
-        .select("rid", "text", C.text_key(), "pos")
+        .select("rid", "doc_id", "text", C.text_key(), "pos")
         .mapInArrow(_windows(block, min_words, n), C.PACKED + ", tk binary, h binary, g binary")
         .groupBy("bucket")
         .applyInArrow(_runs, "rid bigint, tk bigint, start int, n int")
@@ -207,5 +207,5 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, block: int | None = No
         .agg(F.collect_list(F.struct("tk", "start", "n")).alias("spans"))
     )
     out = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    whole = docs.join(runs, "rid", "left").select("doc_id", "text", C.text_key(), "spans")
+    whole = docs.join(runs, "rid", "left").select("rid", "doc_id", "text", C.text_key(), "spans")
     return whole.mapInArrow(_rewrite(min_words, keep_text), out)

@@ -363,7 +363,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 200, keep_text: bool = True)
     )
     runs = (
         docs.join(hits, "rid")
-        .select("rid", "text", C.text_key(), "pos")
+        .select("rid", "doc_id", "text", C.text_key(), "pos")
         .mapInArrow(_bodies(min_bytes, n), C.PACKED + ", tk binary, sizes binary, body binary")
         .groupBy("bucket")
         .applyInArrow(_matches(min_bytes), "rid bigint, tk bigint, start int, n int")
@@ -371,5 +371,5 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 200, keep_text: bool = True)
         .agg(F.collect_list(F.struct("tk", "start", "n")).alias("spans"))
     )
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_bytes binary" * keep_text
-    whole = docs.join(runs, "rid", "left").select("doc_id", "text", C.text_key(), "spans")
+    whole = docs.join(runs, "rid", "left").select("rid", "doc_id", "text", C.text_key(), "spans")
     return whole.mapInArrow(_rewrite(min_bytes, keep_text), out)
