@@ -6,7 +6,8 @@ A conversation's rows are collected as structs and sorted; adjacent turns of one
 
 Texts and roles hold no raw ``\\``, ``#`` or ``<``: these are written ``\\b``, ``\\h``, ``\\l`` (and a
 line feed in a role ``\\n``), so control strings can't occur in them and reading back is exact.
-``loss_spans`` lists the byte spans of the assistant texts in the UTF-8 form of the output.
+Blocks come from one pass over the sorted array in which each turn looks at the one before: a fold that appends
+to an array would copy it at every turn.  ``loss_spans`` lists the byte spans of the assistant texts in the UTF-8 form of the output.
 
 Defined cases: a null text or role is empty; turns sort by (turn, role, text), nulls first; a null
 conv_id is one conversation; an empty table gives an empty result; other columns are ignored.

@@ -14,6 +14,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +58,21 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Folder:
+    """Tables written under the shared folder, to be read by the next step of a job and then deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def drop(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def few_parts(df: DataFrame, n_rows: int, each: int = 20_000) -> DataFrame:
     """Rows whose number is known to be at most ``n_rows``, in as many partitions as they need, without a shuffle.
     Small tables then cost a few tasks at each step, not one for every shuffle partition."""

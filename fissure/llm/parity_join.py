@@ -36,6 +36,7 @@ from fissure.llm import common as C
 from fissure.llm.components import components
 
 BUCKET_BYTES = 6 << 20
+GATHER_BYTES = 8 << 20  # of text whose keys are packed together
 BAND = 1.25
 BROADCAST_IDS = 250_000  # 2 MB
 HOT_ROWS = 1000  # rows with one set from which on its least id is broadcast
@@ -213,7 +214,7 @@ def _blocks(words: int, num: int, den: int, n_buckets: int):
             }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for e in C.gathered(entries(batches)):
+        for e in C.gathered(entries(batches), GATHER_BYTES):
             by = np.argsort(e["doc"], kind="stable")
             e |= {k: e[k][by] for k in ("doc", "h", "bucket")}
             order, cut, row = C.packed(e, n_buckets)

@@ -66,6 +66,33 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), keep_text=False)
 
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i - 1, 400)) AS k FROM d, unnest(range(1, length(h) // 2 - 198)) AS t(i)
+), again AS (
+  SELECT k FROM w GROUP BY k HAVING count(*) > 1
+), s AS (
+  SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, 0) AS fresh FROM w SEMI JOIN again USING (k)
+), g AS (
+  SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s
+), runs AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 199 AS b FROM g GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER v, 0) + 1 AS a, a - 1 AS b FROM runs WINDOW v AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0) + 1, any_value(length(h)) // 2 FROM d LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a - 1, 2 * greatest(b - a + 1, 0)), '' ORDER BY a) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+), lost AS (
+  SELECT doc_id, sum(b - a + 1) AS n, count(*) AS spans FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(lost.n, 0)::BIGINT AS n_removed, coalesce(lost.spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+
 def word_bpe_path() -> str:
     import public_tokenizers
 
@@ -191,6 +218,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1_SQL,
+        "op5_suffix_array_dedup": OP5_SQL,
         "op7_line_dedup": OP7_SQL,
         "op8_ngram_jaccard_join": OP8_SQL,
         "op9_chat_formatting": OP9_SQL,

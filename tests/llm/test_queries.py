@@ -30,6 +30,58 @@ def test_query_runs_and_equals_its_sql(spark, name):
     assert sorted(tuple(str(r[c]) for c in columns) for r in rows) == sorted(expected)
 
 
+def test_pipeline_stages_equal_brute_force(spark):
+    """Stages on texts with nulls, empty ones, repeated rows, groups of copies and of near copies."""
+    from test_corpus import by_brute_force, corpus, split_words
+
+    rng = random.Random(4)
+    rows = corpus(5)
+    base = " ".join(f"b{rng.randrange(300)}" for _ in range(150)).split(" ")
+    for i in range(120):  # near copies, of which many are too far from each other
+        w = list(base)
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(len(w))] = f"c{rng.randrange(500)}"
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000 + i, " ".join(base)) for i in range(100)] + [(2000, " ".join(base)), (None, " ".join(base))]
+    items = [(i, " ".join(f"t{rng.randrange(900)}" for _ in range(30)) + f". Then {i} is what the {i} answer says.") for i in range(5)]
+    rows += [(3000 + i, f"before it {t} and after") for i, t in items]
+    full = [(i, t, None, "s", len(t or "")) for i, t in rows]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(full, schema).repartition(3)
+    once = lambda df: sorted(map(tuple, df.collect()), key=repr)
+
+    least = {}
+    for (i, _), (_, _, c) in zip(rows, by_brute_force(rows, 5, 80, 100)):
+        least.setdefault(i, c)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert once(kept) == sorted((r for r in full if least[r[0]] == r[0]), key=repr) and kept.columns == docs.columns
+
+    folder = corpus_pipeline.Folder(spark, "test")
+    folder.write(spark.createDataFrame(items, "item_id bigint, text string"), "benchmark.parquet")
+    clean = corpus_pipeline.benchmark(spark, docs, folder.path)
+    held = [" ".join(x.decode().lower() for x in split_words(t)) for _, t in items]
+    assert once(clean) == sorted((r for r in full if not any(h in (r[1] or "").lower() for h in held)), key=repr)
+
+    packed = corpus_pipeline.packing(spark, docs, "").collect()
+    assert sorted({r["doc_id"] for r in packed}, key=repr) == sorted({i for i, _ in rows}, key=repr)
+    assert sum(r["piece"] == 0 for r in packed) == len(rows)
+
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), folder.path)
+        assert empty.count() == 0 and (name == "packing" or empty.columns == docs.columns)
+        some = stage(spark, docs.where("doc_id < 12").withColumns({"rid": docs.doc_id, "tk": docs.text}), folder.path)
+        assert name == "packing" or some.columns == docs.columns
+    folder.drop("benchmark.parquet")
+
+
+def test_run_equals_its_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).checkpoint()
+    last = corpus_pipeline.packing(spark, docs, SF)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, last.collect()))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rng = random.Random(1)
