@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fissure.llm.common import Folder
 from fissure.llm.decontamination import drop_contaminated
 from fissure.llm.language_id import drop_unidentified
 from fissure.llm.line_dedup import drop_repeated_lines
@@ -62,12 +63,16 @@ STAGES = [
     ("packing", packing),
 ]
 
-# Language models and subword tokens are beyond SQL; tests hold the pipeline against brute force.
+# Language models and subword tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages; each one's output but the last's is written once and goes when the next one's is there."""
+    docs, folder, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Folder(spark, "pipeline"), None
+    for name, stage in STAGES[:-1]:
+        docs = folder.write(stage(spark, docs, sf_dir), name)
+        if before:
+            folder.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
