@@ -100,6 +100,11 @@ def text_key() -> Column:
     return F.shiftrightunsigned(F.xxhash64("text"), 32).alias("tk")
 
 
+def null_key() -> Column:
+    """0, or for a null doc_id 64 bits of a hash of the text: rows without an id are not all under one key."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint")).alias("nk")
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts: the size from which numbers of buckets follow."""
     return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -209,6 +214,9 @@ class Texts:
     def text_keys(self) -> np.ndarray:
         return self.column("tk").to_numpy(zero_copy_only=False).astype(np.uint32)
 
+    def null_keys(self) -> np.ndarray:
+        return self.column("nk").to_numpy(zero_copy_only=False).astype(np.int64)
+
     def runs(self, size: int) -> Iterator[tuple[int, int]]:
         """Bounds of runs of whole documents of about ``size`` bytes."""
         lo = 0
@@ -357,9 +365,10 @@ def packed(entries: dict[str, np.ndarray], n_buckets: int) -> tuple[np.ndarray,
         "count": pa.array([planes(count[a:b]) for a, b in zip(edge, edge[1:])], pa.binary()),
         "pos": pa.array([planes(step[a:b]) for a, b in zip(cut.tolist(), cut[1:].tolist())], pa.binary()),
     }
-    if "doc_tk" in entries:
-        tk = entries["doc_tk"][doc[head]]
-        out["tk"] = pa.array([tk[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())
+    for name in ("tk", "nk"):
+        if f"doc_{name}" in entries:
+            of = entries[f"doc_{name}"][doc[head]]
+            out[name] = pa.array([planes(of[a:b]) for a, b in zip(edge, edge[1:])], pa.binary())
     return order, cut, out
 
 

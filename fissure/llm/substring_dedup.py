@@ -4,8 +4,8 @@
    windows of ``block`` words of every document, at each start.  Both meet by hash slice in a packed
    exchange; a probe hits where a document with a smaller id holds the block.  As
    ``2 * block <= min_words + 1``, a shared window of ``min_words`` words holds at least one block.
-2. *Extend*: the windows of ``min_words`` words around a hit go, as two independent 64-bit keys, to the
-   bucket of their smallest block hash.  Windows are equal where both keys are.  Equal windows therefore meet, neighbours travel together, and runs of
+2. *Extend*: the windows of ``min_words`` words around a hit go, as two independent keys of 64 and 32 bits, to
+   the bucket of their smallest block hash.  Windows are equal where both keys are.  Equal windows therefore meet, neighbours travel together, and runs of
    matching windows are the maximal exact repeats.  A group of equal windows costs its own length:
    only the smallest id is kept for comparison, so no pairs of documents are formed.
 3. The runs return to their documents, which are rewritten.
@@ -41,6 +41,7 @@ def _anchors(block: int, min_words: int, n_buckets: int):
             h = C.windows(wh, block)[at] if len(at) else np.zeros(0, C.U64)
             yield t, {
                 "ids": t.ids(),
+                "doc_nk": t.null_keys(),
                 "doc": np.repeat(np.arange(t.n), probes),
                 "pos": C.ragged(np.zeros(t.n), probes),
                 "h": h.astype(np.uint32),
@@ -57,23 +58,24 @@ def _anchors(block: int, min_words: int, n_buckets: int):
 
 def _hits(block: int):
     def run(table: pa.Table) -> pa.Table:
-        hs, ds, ps = [], [], []
+        hs, ds, ps, ks = [], [], [], []
         for row, ids, doc, pos in C.unpacked(table):
             hs.append(np.frombuffer(row["h"], np.uint32))
+            ks.append(C.unplanes(row["nk"], np.int64)[doc])
             ds.append(ids[doc])
             ps.append(pos.astype(np.int32))
-        h, d, p = np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
+        h, d, p, k = map(np.concatenate, (hs, ds, ps, ks))
         ref = np.flatnonzero(p % block == 0)
         order = ref[np.argsort(h[ref], kind="stable")]
         head = C.group_bounds(h[order])
         index, least = h[order][head], np.minimum.reduceat(d[order], head) if len(head) else d[:0]
         at = np.minimum(np.searchsorted(index, h), max(0, len(index) - 1))
         match = np.flatnonzero(index[at] == h) if len(index) else np.zeros(0, np.int64)
-        at, d, p = at[match], d[match], p[match]
+        at, d, p, k = at[match], d[match], p[match], k[match]
         most = np.full(len(index), np.iinfo(np.int64).min)
         np.maximum.at(most, at, d)
         hit = (least[at] < d) | ((p % block == 0) & (most[at] > d))
-        return pa.table({"rid": pa.array(d[hit], pa.int64()), "pos": pa.array(p[hit], pa.int32())})
+        return pa.table({"rid": pa.array(d[hit], pa.int64()), "nk": pa.array(k[hit], pa.int64()), "pos": pa.array(p[hit], pa.int32())})
 
     return run
 
@@ -99,10 +101,11 @@ def _windows(block: int, min_words: int, n_buckets: int):
             yield t, {
                 "ids": t.ids(),
                 "doc_tk": t.text_keys(),
+                "doc_nk": t.null_keys(),
                 "doc": doc,
                 "pos": at - first[doc],
                 "h": C.windows(wh, min_words)[at] if len(at) else none,
-                "g": C.windows(check, min_words)[at] if len(at) else none,
+                "g": (C.windows(check, min_words)[at] if len(at) else none).astype(np.uint32),
                 "bucket": (C.mix(home + C.U64(1)) % C.U64(n_buckets)).astype(np.int64),
             }
 
@@ -116,27 +119,29 @@ def _windows(block: int, min_words: int, n_buckets: int):
 
 def _runs(table: pa.Table) -> pa.Table:
     """Windows that a smaller id holds, as runs within documents."""
-    hs, gs, ds, ps, ts, rows = [], [], [], [], [], []
+    hs, gs, ds, ps, ts, ks, rows = [], [], [], [], [], [], []
     for i, (row, ids, doc, pos) in enumerate(C.unpacked(table)):
         hs.append(np.frombuffer(row["h"], C.U64))
-        gs.append(np.frombuffer(row["g"], C.U64))
+        gs.append(np.frombuffer(row["g"], np.uint32))
         ds.append(ids[doc])
-        ts.append(np.frombuffer(row["tk"], np.uint32).astype(np.int64)[doc])
+        ts.append(C.unplanes(row["tk"], np.uint32).astype(np.int64)[doc])
+        ks.append(C.unplanes(row["nk"], np.int64)[doc])
         ps.append(pos)
         rows.append((i << 32) + doc)
-    h, g, d, p, t, r = map(np.concatenate, (hs, gs, ds, ps, ts, rows))
+    h, g, d, p, t, k, r = map(np.concatenate, (hs, gs, ds, ps, ts, ks, rows))
     order = np.lexsort((g, h))
     head = np.union1d(C.group_bounds(h[order]), C.group_bounds(g[order]))
     least = np.empty(len(h), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(d[order], head), np.diff(np.r_[head, len(h)]))
     out = np.flatnonzero(d > least)
-    d, p, t, r = d[out], p[out], t[out], r[out]
+    d, p, t, k, r = d[out], p[out], t[out], k[out], r[out]
     new = np.ones(len(p), bool)
     new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)
     at = np.flatnonzero(new)
     return pa.table(
         {
             "rid": pa.array(d[at], pa.int64()),
+            "nk": pa.array(k[at], pa.int64()),
             "tk": pa.array(t[at], pa.int64()),
             "start": pa.array(p[at], pa.int32()),
             "n": pa.array(np.diff(np.r_[at, len(p)]), pa.int32()),
@@ -186,26 +191,26 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, block: int | None = No
     block = block or (min_words + 1) // 2
     if not 1 <= block <= (min_words + 1) // 2:
         raise ValueError("block must be between 1 and (min_words + 1) // 2")
-    docs = C.documents(docs)  # the same columns in both joins: one exchange serves both
+    docs = C.documents(docs).select("*", C.null_key())  # the same columns in both joins: one exchange serves both
     n = C.buckets(C.text_bytes(docs), BUCKET_BYTES)
-    packed = C.PACKED + ", h binary"
+    packed = C.PACKED + ", nk binary, h binary"
     hits = (
-        docs.select("rid", "text")
+        docs.select("rid", "nk", "text")
         .mapInArrow(_anchors(block, min_words, n), packed)
         .groupBy("bucket")
-        .applyInArrow(_hits(block), "rid bigint, pos int")
-        .groupBy("rid")
+        .applyInArrow(_hits(block), "rid bigint, nk bigint, pos int")
+        .groupBy("rid", "nk")
         .agg(F.collect_list("pos").alias("pos"))
     )
     runs = (
-        docs.join(hits, "rid")
-        .select("rid", "doc_id", "text", C.text_key(), "pos")
-        .mapInArrow(_windows(block, min_words, n), C.PACKED + ", tk binary, h binary, g binary")
+        docs.join(hits, ["rid", "nk"])
+        .select("rid", "nk", "doc_id", "text", C.text_key(), "pos")
+        .mapInArrow(_windows(block, min_words, n), C.PACKED + ", tk binary, nk binary, h binary, g binary")
         .groupBy("bucket")
-        .applyInArrow(_runs, "rid bigint, tk bigint, start int, n int")
-        .groupBy("rid")
+        .applyInArrow(_runs, "rid bigint, nk bigint, tk bigint, start int, n int")
+        .groupBy("rid", "nk")
         .agg(F.collect_list(F.struct("tk", "start", "n")).alias("spans"))
     )
     out = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    whole = docs.join(runs, "rid", "left").select("rid", "doc_id", "text", C.text_key(), "spans")
+    whole = docs.join(runs, ["rid", "nk"], "left").select("rid", "nk", "doc_id", "text", C.text_key(), "spans")
     return whole.mapInArrow(_rewrite(min_words, keep_text), out)

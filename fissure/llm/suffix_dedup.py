@@ -208,6 +208,7 @@ def _entries(t: C.Texts, start: np.ndarray, value: np.ndarray, n_buckets: int) -
     doc = np.searchsorted(t.off, start, "right") - 1
     return {
         "ids": t.ids(),
+        "doc_nk": t.null_keys(),
         "doc": doc,
         "pos": start - t.off[doc],
         "h": value,
@@ -233,19 +234,20 @@ def _anchors(size: int, n_buckets: int):
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    hs, ds, ps, ts = [], [], [], []
+    hs, ds, ps, ts, ks = [], [], [], [], []
     for row, ids, doc, pos in C.unpacked(table):
         h = np.frombuffer(row["h"], C.U64)
         hs.append(h)
+        ks.append(C.unplanes(row["nk"], np.int64)[doc])
         ds.append(ids[doc])
         ps.append(pos.astype(np.int32))
         ts.append(np.unpackbits(np.frombuffer(row["twice"], np.uint8), count=len(h)))
-    h, d, p, t = map(np.concatenate, (hs, ds, ps, ts))
+    h, d, p, t, k = map(np.concatenate, (hs, ds, ps, ts, ks))
     order = np.argsort(h, kind="stable")
     head = C.group_bounds(h[order])
     times = np.add.reduceat(1 + t[order].astype(np.int64), head)
     out = order[np.repeat(times > 1, np.diff(np.r_[head, len(h)]))]
-    return pa.table({"rid": pa.array(d[out], pa.int64()), "pos": pa.array(p[out], pa.int32())})
+    return pa.table({"rid": pa.array(d[out], pa.int64()), "nk": pa.array(k[out], pa.int64()), "pos": pa.array(p[out], pa.int32())})
 
 
 def _bodies(size: int, n_buckets: int):
@@ -273,16 +275,17 @@ def _bodies(size: int, n_buckets: int):
 def _matches(size: int):
     def run(table: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
-        seg, ds, ps, ts = [], [], [], []
+        seg, ds, ps, ts, ks = [], [], [], [], []
         for row, ids, doc, pos in C.unpacked(table):
             edge = np.r_[0, np.cumsum(C.unplanes(row["sizes"], np.uint32).astype(np.int64))].tolist()
             body = row["body"]
             seg += [index.setdefault(body[a:b], len(index)) for a, b in zip(edge, edge[1:])]
             ds.append(ids[doc])
-            ts.append(np.frombuffer(row["tk"], np.uint32).astype(np.int64)[doc])
+            ts.append(C.unplanes(row["tk"], np.uint32).astype(np.int64)[doc])
+            ks.append(C.unplanes(row["nk"], np.int64)[doc])
             ps.append(pos)
         seg = np.array(seg, np.int64)
-        d, p, t = map(np.concatenate, (ds, ps, ts))
+        d, p, t, key = map(np.concatenate, (ds, ps, ts, ks))
         counts = np.bincount(seg, minlength=len(index))
         runs = [_runs(x) for x in repeated_windows(list(index), counts, size)]
         n_runs = np.array([len(a) for a, _ in runs], np.int64)
@@ -293,6 +296,7 @@ def _matches(size: int):
         return pa.table(
             {
                 "rid": pa.array(d[of], pa.int64()),
+                "nk": pa.array(key[of], pa.int64()),
                 "tk": pa.array(t[of], pa.int64()),
                 "start": pa.array((p[of] + starts[which]).astype(np.int32), pa.int32()),
                 "n": pa.array(lengths[which].astype(np.int32), pa.int32()),
@@ -351,25 +355,25 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 200, keep_text: bool = True)
     """
     if min_bytes < GRAM:
         raise ValueError(f"min_bytes must be {GRAM} or more")
-    docs = C.documents(docs)  # the same columns in both joins: one exchange serves both
+    docs = C.documents(docs).select("*", C.null_key())  # the same columns in both joins: one exchange serves both
     n = C.buckets(C.text_bytes(docs), BUCKET_BYTES)
     hits = (
-        docs.select("rid", "text")
-        .mapInArrow(_anchors(min_bytes, n), C.PACKED + ", h binary, twice binary")
+        docs.select("rid", "nk", "text")
+        .mapInArrow(_anchors(min_bytes, n), C.PACKED + ", nk binary, h binary, twice binary")
         .groupBy("bucket")
-        .applyInArrow(_repeated, "rid bigint, pos int")
-        .groupBy("rid")
+        .applyInArrow(_repeated, "rid bigint, nk bigint, pos int")
+        .groupBy("rid", "nk")
         .agg(F.collect_list("pos").alias("pos"))
     )
     runs = (
-        docs.join(hits, "rid")
-        .select("rid", "doc_id", "text", C.text_key(), "pos")
-        .mapInArrow(_bodies(min_bytes, n), C.PACKED + ", tk binary, sizes binary, body binary")
+        docs.join(hits, ["rid", "nk"])
+        .select("rid", "nk", "doc_id", "text", C.text_key(), "pos")
+        .mapInArrow(_bodies(min_bytes, n), C.PACKED + ", tk binary, nk binary, sizes binary, body binary")
         .groupBy("bucket")
-        .applyInArrow(_matches(min_bytes), "rid bigint, tk bigint, start int, n int")
-        .groupBy("rid")
+        .applyInArrow(_matches(min_bytes), "rid bigint, nk bigint, tk bigint, start int, n int")
+        .groupBy("rid", "nk")
         .agg(F.collect_list(F.struct("tk", "start", "n")).alias("spans"))
     )
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_bytes binary" * keep_text
-    whole = docs.join(runs, "rid", "left").select("rid", "doc_id", "text", C.text_key(), "spans")
+    whole = docs.join(runs, ["rid", "nk"], "left").select("rid", "nk", "doc_id", "text", C.text_key(), "spans")
     return whole.mapInArrow(_rewrite(min_bytes, keep_text), out)

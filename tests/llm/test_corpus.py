@@ -237,6 +237,15 @@ def test_a_wrong_piece_is_never_served():
             assert ids.tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_many_rows_without_an_id(spark):
+    rng = random.Random(23)
+    shared = " ".join(words(rng, 60))
+    rows = [(7, shared)] + [(None, f"{shared} {' '.join(words(rng, 5))}") for _ in range(300)] + [(None, shared)] * 3
+    found = substring_dedup(table(spark, rows)).collect()
+    assert sorted(r["n_removed"] for r in found) == [0] + [60] * 303
+    assert sorted(r["n_removed"] > 0 for r in suffix_dedup(table(spark, rows)).collect()) == [True] * 304
+
+
 def test_the_largest_id_stays(spark):
     top = (1 << 63) - 1
     text = " ".join(f"w{i}" for i in range(60))
