@@ -620,6 +620,13 @@ def results_load(s, d):
     return results.mean_of(results.load(s, path, "value")["value"], "nodes", "unoptimised")
 
 
+@query("bench_saved", "SELECT * FROM (VALUES ('sf', 'a', 0.5::DOUBLE), ('sf', 'b', 2.0)) t(sf, name, seconds)")
+def bench_saved(s, d):
+    path = _folder(s, "saved")
+    files.upsert(results.bench_rows(s, '{"sf": "sf", "queries": {"b": 2, "a": 0.5}, "unit": "sec"}'), path)
+    return s.read.parquet(path)
+
+
 @query("bench_reorder", "SELECT 0.5::DOUBLE AS d, n AS v, 2 * n - 2 AS e FROM (VALUES (10::BIGINT), (20)) t(n)")
 def bench_reorder(s, d):
     rows = _bench_rows(s).select("nodes", "edges", "density")

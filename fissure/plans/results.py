@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fissure.functions.scalars import runtime_seconds
@@ -31,6 +33,12 @@ def merge(left: DataFrame, right: DataFrame, keys: list[str], order: list[str] |
     return picked.select(*(order or picked.columns))
 
 
+def bench_rows(spark: SparkSession, line: str) -> DataFrame:
+    """(sf, name, seconds) of the JSON line that a bench run prints."""
+    found = json.loads(line)
+    return spark.createDataFrame([(found["sf"], n, float(v)) for n, v in sorted(found["queries"].items())], "sf string, name string, seconds double")
+
+
 def load(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
     """Result tables that were kept under their names."""
     return {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}") for n in names}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fissure.functions.scalars import density, runtime_seconds
 from fissure.operators import clustering, cracking, index, runs, tables
 from fissure.plans import access, ranking, results, traversal
-from fissure.sources import files, generators
+from fissure.sources import files, generators, graphs
 
 # A well-known example graph of 11 pages and its ranks.
 PAGES = [(2, 3), (3, 2), (4, 1), (4, 2), (5, 2), (5, 4), (5, 6), (6, 2), (6, 5), (7, 2), (7, 5), (8, 2), (8, 5), (9, 2), (9, 5), (10, 5), (11, 5)]
@@ -135,6 +135,12 @@ def test_batches_read_the_pieces_of_their_keys(spark):
         t.close()
 
 
+def test_scale_folders():
+    assert graphs.scale_dir("/data", "0.01") == "/data/sf0.01"
+    with pytest.raises(ValueError):
+        graphs.scale_dir("/data", "7")
+
+
 def test_insert_and_declare(spark):
     rows = spark.createDataFrame([(0, 1), (1, 2)], "pos bigint, a bigint")
     more = spark.createDataFrame([(0, 3)], "pos bigint, a bigint")
