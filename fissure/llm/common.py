@@ -342,6 +342,16 @@ def gathered(parts: Iterator[tuple[Texts, dict[str, np.ndarray]]], size: int = P
         yield {k: np.concatenate([x[k] for x in held]) for k in held[0]}
 
 
+def taken(entries: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+    """Some entries, with the columns of all documents."""
+    return {k: v if k == "ids" or k.startswith("doc_") else v[at] for k, v in entries.items()}
+
+
+def spread(entries: dict[str, np.ndarray], n_buckets: int) -> dict[str, np.ndarray]:
+    """Entries that need no other ones, dealt by document: they are not in the way of a hot hash value."""
+    return entries | {"bucket": (mix(entries["ids"][entries["doc"]].astype(U64)) % U64(n_buckets)).astype(np.int64)}
+
+
 def packed(entries: dict[str, np.ndarray], n_buckets: int) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]:
     """Entries by bucket: their order, the bounds of each packed row, and its columns.
 

@@ -2,14 +2,18 @@
 
 1. *Index*: the non-overlapping blocks of ``block`` words of every document.  *Probe*: the rolling
    windows of ``block`` words of every document, at each start.  Both meet by hash slice in a packed
-   exchange; a probe hits where a document with a smaller id holds the block.  As
-   ``2 * block <= min_words + 1``, a shared window of ``min_words`` words holds at least one block.
+   exchange; a block is hit where another document probes it.  As ``2 * block <= min_words + 1``, a
+   shared window of ``min_words`` words holds a block of each of its documents.
 2. *Extend*: the windows of ``min_words`` words around a hit go, as two independent keys of 64 and 32 bits, to
-   the bucket of their smallest block hash.  Windows are equal where both keys are.  Equal windows therefore meet, neighbours travel together, and runs of
-   matching windows are the maximal exact repeats.  A group of equal windows costs its own length:
-   only the smallest id is kept for comparison, so no pairs of documents are formed.
+   the bucket of their smallest block hash.  Windows are equal where both keys are.  Equal windows therefore meet,
+   neighbours travel together, and runs of matching windows are the maximal exact repeats.  A group of equal
+   windows costs its own length: only the smallest id is kept for comparison, so no pairs of documents are formed.
 3. The runs return to their documents, which are rewritten.
 
+Hot blocks and windows are combined before each exchange: of the texts packed together (12 MB), a hash value sends
+the entries of one document only.  The others are decided there, by that one, and go on dealt by document.
+So a passage that every document holds is, where it meets, one document's entries for each 12 MB of text.
+
 Defined cases: null or empty text has no words; a null doc_id counts as the largest possible id, and
 stays null; rows that share an id are never each other's duplicates; other columns are ignored; an empty table gives an
 empty result.
@@ -44,40 +48,65 @@ def _anchors(block: int, min_words: int, n_buckets: int):
                 "doc_nk": t.null_keys(),
                 "doc": np.repeat(np.arange(t.n), probes),
                 "pos": C.ragged(np.zeros(t.n), probes),
-                "h": h.astype(np.uint32),
+                "h": h,
                 "bucket": ((h >> C.U64(32)) % C.U64(n_buckets)).astype(np.int64),
             }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e in C.gathered(entries(batches)):
-            order, cut, row = C.packed(e, n_buckets)
-            yield pa.RecordBatch.from_pydict(row | {"h": C.slices(e["h"][order], cut)})
+            block_at = e["pos"] % block == 0
+            e["pos"] -= e["pos"] % block  # only places of blocks are asked for later
+            for part, decided in _split_anchors(e, block_at, n_buckets):
+                order, cut, row = C.packed(part, n_buckets)
+                h = part["h"][order].astype(np.uint32)
+                row["h"] = C.slices(h[:0] if decided else h, cut)
+                row["what"] = C.slices(part["what"][order], cut)
+                yield pa.RecordBatch.from_pydict(row)
 
     return run
 
 
-def _hits(block: int):
-    def run(table: pa.Table) -> pa.Table:
-        hs, ds, ps, ks = [], [], [], []
-        for row, ids, doc, pos in C.unpacked(table):
-            hs.append(np.frombuffer(row["h"], np.uint32))
-            ks.append(C.unplanes(row["nk"], np.int64)[doc])
-            ds.append(ids[doc])
-            ps.append(pos.astype(np.int32))
-        h, d, p, k = map(np.concatenate, (hs, ds, ps, ks))
-        ref = np.flatnonzero(p % block == 0)
-        order = ref[np.argsort(h[ref], kind="stable")]
-        head = C.group_bounds(h[order])
-        index, least = h[order][head], np.minimum.reduceat(d[order], head) if len(head) else d[:0]
-        at = np.minimum(np.searchsorted(index, h), max(0, len(index) - 1))
-        match = np.flatnonzero(index[at] == h) if len(index) else np.zeros(0, np.int64)
-        at, d, p, k = at[match], d[match], p[match], k[match]
-        most = np.full(len(index), np.iinfo(np.int64).min)
-        np.maximum.at(most, at, d)
-        hit = (least[at] < d) | ((p % block == 0) & (most[at] > d))
-        return pa.table({"rid": pa.array(d[hit], pa.int64()), "nk": pa.array(k[hit], pa.int64()), "pos": pa.array(p[hit], pa.int32())})
+PROBE, BLOCK, SEVERAL, DECIDED = range(4)
 
-    return run
+
+def _split_anchors(e: dict[str, np.ndarray], block_at: np.ndarray, n_buckets: int) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Of each hash value one entry, or all blocks if they are of one id; and the blocks that are hit by what is here."""
+    rid, first = e["ids"][e["doc"]], np.r_[np.flatnonzero(block_at), np.flatnonzero(~block_at)]
+    order = first[np.argsort(e["h"][first], kind="stable")]
+    head = C.group_bounds(e["h"][order])
+    several = np.empty(len(rid), bool)
+    least, most = (f.reduceat(rid[order], head) for f in (np.minimum, np.maximum))
+    several[order] = np.repeat(least != most, np.diff(np.r_[head, len(order)]))
+    sent = block_at & ~several
+    sent[order[head]] = True
+    what = np.where(several, SEVERAL, np.where(block_at, BLOCK, PROBE)).astype(np.uint8)
+    at = np.flatnonzero(sent)
+    yield C.taken(e, at) | {"what": what[at]}, False
+    at = np.flatnonzero(block_at & several)
+    if len(at):
+        yield C.spread(C.taken(e, at), n_buckets) | {"what": np.full(len(at), DECIDED, np.uint8)}, True
+
+
+def _hits(table: pa.Table) -> pa.Table:
+    """Blocks that another id probes."""
+    hs, ds, ps, ks, ws = [], [], [], [], []
+    for row, ids, doc, pos in C.unpacked(table):
+        w = np.frombuffer(row["what"], np.uint8)
+        hs.append(np.frombuffer(row["h"], np.uint32) if row["h"] else np.zeros(len(w), np.uint32))
+        ks.append(C.unplanes(row["nk"], np.int64)[doc])
+        ds.append(ids[doc])
+        ps.append(pos.astype(np.int32))
+        ws.append(w)
+    h, d, p, k, w = map(np.concatenate, (hs, ds, ps, ks, ws))
+    hit = w == DECIDED
+    met = np.flatnonzero(~hit)
+    if len(met):
+        order = met[np.argsort(h[met], kind="stable")]
+        head = C.group_bounds(h[order])
+        least, most = (f.reduceat(d[order], head) for f in (np.minimum, np.maximum))
+        several = (least != most) | np.logical_or.reduceat(w[order] == SEVERAL, head)
+        hit[order] = np.repeat(several, np.diff(np.r_[head, len(order)])) & (w[order] == BLOCK)
+    return pa.table({"rid": pa.array(d[hit], pa.int64()), "nk": pa.array(k[hit], pa.int64()), "pos": pa.array(p[hit], pa.int32())})
 
 
 def _windows(block: int, min_words: int, n_buckets: int):
@@ -111,16 +140,30 @@ def _windows(block: int, min_words: int, n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e in C.gathered(entries(batches)):
-            order, cut, row = C.packed(e, n_buckets)
-            yield pa.RecordBatch.from_pydict(row | {k: C.slices(e[k][order], cut) for k in ("h", "g")})
+            later = e["ids"][e["doc"]] > _least(e["h"], e["g"], e["ids"][e["doc"]])
+            for part, decided in ((C.taken(e, np.flatnonzero(~later)), False), (C.spread(C.taken(e, np.flatnonzero(later)), n_buckets), True)):
+                if len(part["doc"]):
+                    order, cut, row = C.packed(part, n_buckets)
+                    yield pa.RecordBatch.from_pydict(row | {k: C.slices(part[k][order][: 0 if decided else None], cut) for k in ("h", "g")})
 
     return run
 
 
+def _least(h: np.ndarray, g: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """For each window the least id that holds it."""
+    out = np.empty(len(h), np.int64)
+    if len(h):
+        order = np.lexsort((g, h))
+        head = np.union1d(C.group_bounds(h[order]), C.group_bounds(g[order]))
+        out[order] = np.repeat(np.minimum.reduceat(d[order], head), np.diff(np.r_[head, len(h)]))
+    return out
+
+
 def _runs(table: pa.Table) -> pa.Table:
-    """Windows that a smaller id holds, as runs within documents."""
-    hs, gs, ds, ps, ts, ks, rows = [], [], [], [], [], [], []
+    """Windows that a smaller id holds, as runs within documents; rows without hashes are decided."""
+    hs, gs, ds, ps, ts, ks, rows, known = [], [], [], [], [], [], [], []
     for i, (row, ids, doc, pos) in enumerate(C.unpacked(table)):
+        known.append(np.full(len(pos), not row["h"]))
         hs.append(np.frombuffer(row["h"], C.U64))
         gs.append(np.frombuffer(row["g"], np.uint32))
         ds.append(ids[doc])
@@ -128,12 +171,10 @@ def _runs(table: pa.Table) -> pa.Table:
         ks.append(C.unplanes(row["nk"], np.int64)[doc])
         ps.append(pos)
         rows.append((i << 32) + doc)
-    h, g, d, p, t, k, r = map(np.concatenate, (hs, gs, ds, ps, ts, ks, rows))
-    order = np.lexsort((g, h))
-    head = np.union1d(C.group_bounds(h[order]), C.group_bounds(g[order]))
-    least = np.empty(len(h), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(d[order], head), np.diff(np.r_[head, len(h)]))
-    out = np.flatnonzero(d > least)
+    h, g, d, p, t, k, r, gone = map(np.concatenate, (hs, gs, ds, ps, ts, ks, rows, known))
+    met = np.flatnonzero(~gone)
+    gone[met] = d[met] > _least(h, g, d[met])
+    out = np.flatnonzero(gone)
     d, p, t, k, r = d[out], p[out], t[out], k[out], r[out]
     new = np.ones(len(p), bool)
     new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1] + 1)
@@ -193,12 +234,12 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, block: int | None = No
         raise ValueError("block must be between 1 and (min_words + 1) // 2")
     docs = C.documents(docs).select("*", C.null_key())  # the same columns in both joins: one exchange serves both
     n = C.buckets(C.text_bytes(docs), BUCKET_BYTES)
-    packed = C.PACKED + ", nk binary, h binary"
+    packed = C.PACKED + ", nk binary, h binary, what binary"
     hits = (
         docs.select("rid", "nk", "text")
         .mapInArrow(_anchors(block, min_words, n), packed)
         .groupBy("bucket")
-        .applyInArrow(_hits(block), "rid bigint, nk bigint, pos int")
+        .applyInArrow(_hits, "rid bigint, nk bigint, pos int")
         .groupBy("rid", "nk")
         .agg(F.collect_list("pos").alias("pos"))
     )

@@ -6,12 +6,15 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fissure.llm import common as C
 from fissure.llm import decontamination
+from fissure.llm import substring_dedup as substring_dedup_module
 from fissure.llm.chat_format import HEAD, chat_digests, format_chats, read_chats
 from fissure.llm.chroma import align_recordings, chroma, decode_wav, fingerprint, fingerprints, recordings_of
 from fissure.llm.components import components
@@ -57,9 +60,9 @@ def corpus(seed=0, n=40):
     return rows
 
 
-def table(spark, rows):
+def table(spark, rows, parts=3):
     full = [(i, t, "xx", "s", len(t or ""), 7, "p", 1, "s", 0, 9) for i, t in rows]
-    return spark.createDataFrame(full, DOCS).repartition(3)
+    return spark.createDataFrame(full, DOCS).repartition(parts)
 
 
 def split_words(text):
@@ -75,7 +78,8 @@ def same(found, expected):
     assert sorted(map(tuple, found), key=key) == sorted(expected, key=key)
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("parts", [1, 24])
+def test_substring_dedup(spark, parts):
     rows = corpus()
     first = {}
     for i, t in rows:
@@ -93,13 +97,38 @@ def test_substring_dedup(spark):
         kept = b" ".join(x for x, g in zip(w, gone) if not g)
         expected.append((i, len(w), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
     assert any(e[2] for e in expected)
-    same(substring_dedup(table(spark, rows)).collect(), expected)
+    same(substring_dedup(table(spark, rows, parts)).collect(), expected)
     assert substring_dedup(table(spark, []).limit(0)).count() == 0
     with pytest.raises(ValueError):
         substring_dedup(table(spark, rows), min_words=50, block=26)
 
 
-def test_suffix_dedup(spark):
+def batches_of(rows):
+    texts = pa.table({"rid": [i for i, _ in rows], "nk": [0] * len(rows), "tk": [zlib.crc32(t.encode()) for _, t in rows], "text": [t for _, t in rows]})
+    return texts.to_batches(max_chunksize=50)
+
+
+def met(rows, key):
+    """Times that a hash value occurs among entries that must meet others."""
+    values = [v for batch in rows for row in batch.to_pylist() for v in key(row)]
+    return Counter(values)
+
+
+def test_hot_blocks_are_combined_before_they_meet():
+    rng = random.Random(31)
+    shared = words(rng, 200)
+    rows = [(i, " ".join(words(rng, rng.randrange(30)) + shared + words(rng, 9, 10**6))) for i in range(600)]
+    anchors = list(substring_dedup_module._anchors(25, 50, 1)(iter(batches_of(rows))))
+    assert max(met(anchors, lambda row: np.frombuffer(row["h"], np.uint32).tolist()).values()) <= len(anchors)
+    decided = [row for batch in anchors for row in batch.to_pylist() if not row["h"]]
+    assert sum(len(row["what"]) for row in decided) > 600 * 5  # blocks of all documents
+    hot = [b.append_column("pos", pa.array([[50, 75, 100]] * len(b), pa.list_(pa.int32()))) for b in batches_of(rows)]
+    found = list(substring_dedup_module._windows(25, 50, 1)(iter(hot)))
+    assert max(met(found, lambda row: np.frombuffer(row["h"], np.uint64).tolist()).values()) <= len(found)
+
+
+@pytest.mark.parametrize("parts", [1, 24])
+def test_suffix_dedup(spark, parts):
     rows = corpus(1)
     times = {}
     for _, t in rows:
@@ -117,7 +146,7 @@ def test_suffix_dedup(spark):
         spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0
         expected.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
     assert any(e[2] for e in expected)
-    same(suffix_dedup(table(spark, rows), keep_text=False).collect(), expected)
+    same(suffix_dedup(table(spark, rows, parts), keep_text=False).collect(), expected)
     assert suffix_dedup(table(spark, []).limit(0)).count() == 0
 
 
