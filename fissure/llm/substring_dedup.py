@@ -71,14 +71,18 @@ PROBE, BLOCK, SEVERAL, DECIDED = range(4)
 
 def _split_anchors(e: dict[str, np.ndarray], block_at: np.ndarray, n_buckets: int) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
     """Of each hash value one entry, or all blocks if they are of one id; and the blocks that are hit by what is here."""
-    rid, first = e["ids"][e["doc"]], np.r_[np.flatnonzero(block_at), np.flatnonzero(~block_at)]
-    order = first[np.argsort(e["h"][first], kind="stable")]
+    order = np.argsort(e["h"]).astype(np.int32)
     head = C.group_bounds(e["h"][order])
-    several = np.empty(len(rid), bool)
-    least, most = (f.reduceat(rid[order], head) for f in (np.minimum, np.maximum))
-    several[order] = np.repeat(least != most, np.diff(np.r_[head, len(order)]))
+    size = np.diff(np.r_[head, len(order)])
+    one = order[head]
+    several = np.zeros(len(order), bool)
+    if (size > 1).any():
+        again, size = order[np.repeat(size > 1, size)], size[size > 1]
+        rid, head = e["ids"][e["doc"][again]], np.cumsum(size) - size
+        several[again] = np.repeat(np.minimum.reduceat(rid, head) != np.maximum.reduceat(rid, head), size)
+    del order
     sent = block_at & ~several
-    sent[order[head]] = True
+    sent[one] = True
     what = np.where(several, SEVERAL, np.where(block_at, BLOCK, PROBE)).astype(np.uint8)
     at = np.flatnonzero(sent)
     yield C.taken(e, at) | {"what": what[at]}, False
@@ -153,8 +157,13 @@ def _least(h: np.ndarray, g: np.ndarray, d: np.ndarray) -> np.ndarray:
     """For each window the least id that holds it."""
     out = np.empty(len(h), np.int64)
     if len(h):
-        order = np.lexsort((g, h))
-        head = np.union1d(C.group_bounds(h[order]), C.group_bounds(g[order]))
+        order = np.argsort(h)
+        new = np.ones(len(h), bool)
+        new[1:] = h[order[1:]] != h[order[:-1]]
+        if (~new[1:] & (g[order[1:]] != g[order[:-1]])).any():  # rarely does one key not tell them apart
+            order = np.lexsort((g, h))
+            new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+        head = np.flatnonzero(new)
         out[order] = np.repeat(np.minimum.reduceat(d[order], head), np.diff(np.r_[head, len(h)]))
     return out
 
