@@ -9,6 +9,10 @@
    and stops at ``min_bytes``.  Neighbours that got no length share ``min_bytes`` bytes or more.
 3. Repeated windows return to their documents as runs.
 
+Hot values are combined before each exchange: of the texts packed together (12 MB), an anchor value sends one entry
+and a segment one body, and says if it is there twice.  Then the copies are known to repeat, whole, and go on dealt by
+document.  So a passage that every document holds is, where it meets, one entry for each 12 MB of text.
+
 Defined cases: a null text is empty; a null doc_id is a row like any other; rows that repeat are
 copies of each other; other columns are ignored; an empty table gives an empty result.
 """
@@ -224,34 +228,51 @@ def _anchors(size: int, n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e in C.gathered(entries(batches)):
-            order, cut, row = C.packed(e, n_buckets)
-            twice = e["twice"][order]
-            row["h"] = C.slices(e["h"][order], cut)
-            row["twice"] = pa.array([np.packbits(twice[a:b]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
-            yield pa.RecordBatch.from_pydict(row)
+            several = _several(e["h"], 1 + e["twice"].astype(np.int64))
+            one = np.unique(e["h"], return_index=True)[1]
+            sent = ~several
+            sent[one] = True
+            for at, decided in ((np.flatnonzero(sent), False), (np.flatnonzero(several), True)):
+                if not len(at):
+                    continue
+                part = C.taken(e, at)
+                order, cut, row = C.packed(C.spread(part, n_buckets) if decided else part, n_buckets)
+                many = several[at[order]]
+                row["h"] = C.slices(part["h"][order][: 0 if decided else None], cut)
+                row["several"] = pa.array([np.packbits(many[a:b]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_pydict(row)
 
     return run
 
 
+def _several(values: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """For each entry whether its value occurs twice or more in all."""
+    order = np.argsort(values)
+    head = C.group_bounds(values[order])
+    out = np.empty(len(values), bool)
+    out[order] = np.repeat(np.add.reduceat(times[order], head) > 1, np.diff(np.r_[head, len(values)]))
+    return out
+
+
 def _repeated(table: pa.Table) -> pa.Table:
-    hs, ds, ps, ts, ks = [], [], [], [], []
+    """Entries whose anchor value occurs elsewhere; rows without values are decided."""
+    hs, ds, ps, ts, ks, known = [], [], [], [], [], []
     for row, ids, doc, pos in C.unpacked(table):
-        h = np.frombuffer(row["h"], C.U64)
-        hs.append(h)
+        known.append(np.full(len(pos), not row["h"]))
+        hs.append(np.frombuffer(row["h"], C.U64))
         ks.append(C.unplanes(row["nk"], np.int64)[doc])
         ds.append(ids[doc])
         ps.append(pos.astype(np.int32))
-        ts.append(np.unpackbits(np.frombuffer(row["twice"], np.uint8), count=len(h)))
-    h, d, p, t, k = map(np.concatenate, (hs, ds, ps, ts, ks))
-    order = np.argsort(h, kind="stable")
-    head = C.group_bounds(h[order])
-    times = np.add.reduceat(1 + t[order].astype(np.int64), head)
-    out = order[np.repeat(times > 1, np.diff(np.r_[head, len(h)]))]
+        ts.append(np.unpackbits(np.frombuffer(row["several"], np.uint8), count=len(pos)))
+    h, d, p, t, k, out = map(np.concatenate, (hs, ds, ps, ts, ks, known))
+    met = np.flatnonzero(~out)
+    if len(met):
+        out[met] = _several(h, 1 + t[met].astype(np.int64)) & (t[met] == 0)  # the others are among the decided
     return pa.table({"rid": pa.array(d[out], pa.int64()), "nk": pa.array(k[out], pa.int64()), "pos": pa.array(p[out], pa.int32())})
 
 
 def _bodies(size: int, n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]):
         for t in C.chunks(batches):
             start, wins, value, _ = _segments(t, size)
             hits = t.column("pos")
@@ -259,47 +280,76 @@ def _bodies(size: int, n_buckets: int):
             wanted = np.asarray(hits.flatten()).astype(np.int64) + np.repeat(t.off[:-1], per)
             mine = np.isin(start, wanted)
             start, wins, value = start[mine], wins[mine], value[mine]
-            if not len(start):
-                continue
-            e = _entries(t, start, value, n_buckets) | {"doc_tk": t.text_keys()}
-            order, cut, row = C.packed(e, n_buckets)
-            sizes = (wins + size - 1)[order]
-            body = t.data[C.ragged(start[order], sizes)]
-            row["sizes"] = pa.array([C.planes(sizes[a:b].astype(np.uint32)) for a, b in zip(cut, cut[1:])], pa.binary())
-            row["body"] = C.slices(body, np.r_[0, np.cumsum(sizes)][cut])
-            yield pa.RecordBatch.from_pydict(row)
+            sizes = wins + size - 1
+            body = t.data[C.ragged(start, sizes)]
+            yield t, _entries(t, start, value, n_buckets) | {"doc_tk": t.text_keys(), "wins": wins, "body": body}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in C.gathered(entries(batches)):
+            body = e.pop("body")
+            sizes = e["wins"] + size - 1
+            begin = np.cumsum(sizes) - sizes
+            several, sent = _equal_bodies(e["h"], begin, sizes, body)
+            for at, decided in ((np.flatnonzero(sent), False), (np.flatnonzero(several), True)):
+                if not len(at):
+                    continue
+                part = C.taken(e, at)
+                order, cut, row = C.packed(C.spread(part, n_buckets) if decided else part, n_buckets)
+                of = at[order]
+                row["sizes"] = pa.array([C.planes(sizes[of[a:b]].astype(np.uint32)) for a, b in zip(cut, cut[1:])], pa.binary())
+                row["several"] = pa.array([np.packbits(several[of[a:b]]).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+                moved = body[C.ragged(begin[of], sizes[of])] if not decided else body[:0]
+                row["body"] = C.slices(moved, np.r_[0, np.cumsum(sizes[of])][cut])
+                yield pa.RecordBatch.from_pydict(row)
 
     return run
 
 
+def _equal_bodies(value: np.ndarray, begin: np.ndarray, sizes: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each body is there twice or more, and which to send: the first of equal ones."""
+    again = np.flatnonzero(_several(value, np.ones(len(value), np.int64)))  # equal bodies have equal values
+    whole, seen = body.tobytes(), {}
+    first = np.arange(len(value))
+    for i, a, b in zip(again.tolist(), begin[again].tolist(), (begin + sizes)[again].tolist()):
+        first[i] = seen.setdefault(whole[a:b], i)
+    return np.bincount(first, minlength=len(value))[first] > 1, first == np.arange(len(value))
+
+
 def _matches(size: int):
     def run(table: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
-        seg, ds, ps, ts, ks = [], [], [], [], []
+        seg, ds, ps, ts, ks, many, wins = [], [], [], [], [], [], []
         for row, ids, doc, pos in C.unpacked(table):
-            edge = np.r_[0, np.cumsum(C.unplanes(row["sizes"], np.uint32).astype(np.int64))].tolist()
+            n = C.unplanes(row["sizes"], np.uint32).astype(np.int64)
             body = row["body"]
-            seg += [index.setdefault(body[a:b], len(index)) for a, b in zip(edge, edge[1:])]
+            edge = np.r_[0, np.cumsum(n)].tolist()
+            seg.append([index.setdefault(body[a:b], len(index)) for a, b in zip(edge, edge[1:])] if body else np.full(len(n), -1))
             ds.append(ids[doc])
             ts.append(C.unplanes(row["tk"], np.uint32).astype(np.int64)[doc])
             ks.append(C.unplanes(row["nk"], np.int64)[doc])
             ps.append(pos)
-        seg = np.array(seg, np.int64)
-        d, p, t, key = map(np.concatenate, (ds, ps, ts, ks))
-        counts = np.bincount(seg, minlength=len(index))
-        runs = [_runs(x) for x in repeated_windows(list(index), counts, size)]
-        n_runs = np.array([len(a) for a, _ in runs], np.int64)
-        base = np.cumsum(n_runs) - n_runs
-        starts, lengths = (np.concatenate([r[i] for r in runs]) for i in (0, 1))
-        which = C.ragged(base[seg], n_runs[seg])
-        of = np.repeat(np.arange(len(seg)), n_runs[seg])
+            many.append(np.unpackbits(np.frombuffer(row["several"], np.uint8), count=len(n)))
+            wins.append(n - size + 1)
+        seg, d, p, t, key, many, wins = map(np.concatenate, (seg, ds, ps, ts, ks, many, wins))
+        known = seg < 0  # these repeat whole
+        asked = np.flatnonzero(~known & (many == 0))
+        out = [(np.flatnonzero(known), np.zeros(int(known.sum()), np.int64), wins[known])]
+        if index:
+            counts = np.bincount(seg[~known], 1 + many[~known], len(index)).astype(np.int64)
+            runs = [_runs(x) for x in repeated_windows(list(index), counts, size)]
+            n_runs = np.array([len(a) for a, _ in runs], np.int64)
+            base = np.cumsum(n_runs) - n_runs
+            starts, lengths = (np.concatenate([r[i] for r in runs]) for i in (0, 1))
+            which = C.ragged(base[seg[asked]], n_runs[seg[asked]])
+            out.append((np.repeat(asked, n_runs[seg[asked]]), starts[which], lengths[which]))
+        of, starts, lengths = (np.concatenate(x) for x in zip(*out))
         return pa.table(
             {
                 "rid": pa.array(d[of], pa.int64()),
                 "nk": pa.array(key[of], pa.int64()),
                 "tk": pa.array(t[of], pa.int64()),
-                "start": pa.array((p[of] + starts[which]).astype(np.int32), pa.int32()),
-                "n": pa.array(lengths[which].astype(np.int32), pa.int32()),
+                "start": pa.array((p[of] + starts).astype(np.int32), pa.int32()),
+                "n": pa.array(lengths.astype(np.int32), pa.int32()),
             }
         )
 
@@ -359,7 +409,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 200, keep_text: bool = True)
     n = C.buckets(C.text_bytes(docs), BUCKET_BYTES)
     hits = (
         docs.select("rid", "nk", "text")
-        .mapInArrow(_anchors(min_bytes, n), C.PACKED + ", nk binary, h binary, twice binary")
+        .mapInArrow(_anchors(min_bytes, n), C.PACKED + ", nk binary, h binary, several binary")
         .groupBy("bucket")
         .applyInArrow(_repeated, "rid bigint, nk bigint, pos int")
         .groupBy("rid", "nk")
@@ -368,7 +418,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 200, keep_text: bool = True)
     runs = (
         docs.join(hits, ["rid", "nk"])
         .select("rid", "nk", "doc_id", "text", C.text_key(), "pos")
-        .mapInArrow(_bodies(min_bytes, n), C.PACKED + ", tk binary, nk binary, sizes binary, body binary")
+        .mapInArrow(_bodies(min_bytes, n), C.PACKED + ", tk binary, nk binary, sizes binary, several binary, body binary")
         .groupBy("bucket")
         .applyInArrow(_matches(min_bytes), "rid bigint, nk bigint, tk bigint, start int, n int")
         .groupBy("rid", "nk")

@@ -15,6 +15,7 @@ import pytest
 from fissure.llm import common as C
 from fissure.llm import decontamination
 from fissure.llm import substring_dedup as substring_dedup_module
+from fissure.llm import suffix_dedup as suffix_dedup_module
 from fissure.llm.chat_format import HEAD, chat_digests, format_chats, read_chats
 from fissure.llm.chroma import align_recordings, chroma, decode_wav, fingerprint, fingerprints, recordings_of
 from fissure.llm.components import components
@@ -127,6 +128,22 @@ def test_hot_blocks_are_combined_before_they_meet():
     assert max(met(found, lambda row: np.frombuffer(row["h"], np.uint64).tolist()).values()) <= len(found)
 
 
+def test_hot_segments_are_combined_before_they_meet():
+    rng = random.Random(37)
+    shared = " ".join(words(rng, 300))
+    rows = [(i, f"{rng.random()} {shared} {rng.random()}") for i in range(600)]
+    anchors = list(suffix_dedup_module._anchors(200, 1)(iter(batches_of(rows))))
+    assert max(met(anchors, lambda row: np.frombuffer(row["h"], np.uint64).tolist()).values()) <= len(anchors)
+
+    def bodies(row):
+        edge = np.r_[0, np.cumsum(C.unplanes(row["sizes"], np.uint32))].tolist() if row["body"] else []
+        return [row["body"][a:b] for a, b in zip(edge, edge[1:])]
+
+    asked = [b.append_column("pos", pa.array([list(range(2000))] * len(b), pa.list_(pa.int32()))) for b in batches_of(rows)]
+    found = list(suffix_dedup_module._bodies(200, 1)(iter(asked)))
+    assert max(met(found, bodies).values()) <= len(found)
+
+
 @pytest.mark.parametrize("parts", [1, 24])
 def test_suffix_dedup(spark, parts):
     rows = corpus(1)
