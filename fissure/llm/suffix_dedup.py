@@ -33,6 +33,7 @@ GRAM = 64
 BUCKET_BYTES = 3 << 20
 FEW_BYTES = 1 << 19  # what is hashed at a time: it stays in the cache
 WIDE = 64  # intervals over this width are extended by rank, others element by element
+FEW = 300  # and so are wide ones of fewer elements for each symbol: a step by rank has a cost of its own
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -44,7 +45,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     for j in range(7):
         key <<= C.U64(9)
         key |= wide[j : j + n]
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    order = np.argsort(key).astype(np.int32)  # ties get one rank, in any order
     head = C.group_bounds(key[order])
     size = np.diff(np.r_[head, n])
     rank = np.empty(n, np.int32)
@@ -56,7 +57,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         old = rank[tied]
         key = (old.astype(np.int64) << 32) | second
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         tied, key, old = tied[by], key[by], old[by]
         group = C.group_bounds(old)
         parts = C.group_bounds(key)
@@ -91,6 +92,8 @@ def short_prefixes(symbols: np.ndarray, sa: np.ndarray, stop: int) -> np.ndarray
             break
         width = rb - lb
         wide = width > WIDE
+        if width[wide].sum() < FEW * len(chars):
+            wide[:] = False
         lows, highs = [], []
         if wide.any():
             a, b = lb[wide], rb[wide]
